@@ -203,15 +203,14 @@ class Ordered:
             return Ordered(self._df, [*self.keys, *more], order)
         return ordered(self.df, [*self.keys, *more], order)
 
-    def ranged(self, low: float, high: float, **values: Column) -> DataFrame:
-        """Aggregates of the rows whose first order column lies in [own + low, own + high].
+    def ranged(self, low: float, high: float, **values: str) -> DataFrame:
+        """Aggregates (SQL text) of the rows whose first order column lies in [own + low, own + high], low <= 0 <= high.
 
         In chunked keys a row also visits the chunks whose frames reach it.
         """
         pos = self.order[0]
         if not self.chunked:
-            near = Window.partitionBy(*self.keys).orderBy(pos).rangeBetween(low, high)
-            return self._df.withColumns({name: v.over(near) for name, v in values.items()})
+            return self._df.withColumns(_range_frame(values, self.keys, pos, low, high))
         at = F.col(pos)
         spots = F.transform("_cuts", lambda c: c[pos])
         visits = self._df.drop(CHUNK).join(self.cuts, self.keys, "left").withColumn("_spots", spots)
@@ -221,8 +220,7 @@ class Ordered:
         visits = visits.withColumn("_home", home).withColumn(
             CHUNK, F.explode(F.sequence(F.least(first, home), F.greatest(last, home)))
         )
-        near = Window.partitionBy(*self.parts).orderBy(pos).rangeBetween(low, high)
-        out = visits.drop("_cuts", "_spots").withColumns({name: v.over(near) for name, v in values.items()})
+        out = visits.drop("_cuts", "_spots").withColumns(_range_frame(values, self.parts, pos, low, high))
         return out.where(F.col("_home") == F.col(CHUNK)).drop("_home", CHUNK)
 
     def add(self, **scans: Scan) -> Ordered:
@@ -293,6 +291,15 @@ class Ordered:
             known = checkpoint(known.join(stale, self.parts, "left_anti").unionByName(again))
 
 
+def _range_frame(values: dict[str, str], parts: list[str], pos: str, low: float, high: float) -> dict[str, Column]:
+    def bound(v: float) -> str:
+        return f"{abs(v)}D" if isinstance(v, float) else str(abs(v))
+
+    by = ", ".join(f"`{p}`" for p in parts)
+    frame = f"range between {bound(low)} preceding and {bound(high)} following"
+    return {name: F.expr(f"{v} over (partition by {by} order by `{pos}` {frame})") for name, v in values.items()}
+
+
 def _fields(spark, ddl: str):
     from pyspark.sql.types import StructType
 

@@ -216,19 +216,23 @@ def tab_line_parts(line: Column) -> tuple[Column, Column]:
 
 def is_tab_line(line: Column) -> Column:
     """Whether a text line looks like one string of a tab."""
-    stripped = F.rtrim(line)
-    label, body = tab_line_parts(stripped)
-    length = F.length(F.translate(body, " ", ""))
-    dashes = F.length(body) - F.length(F.translate(body, "-", ""))
-    unknown = F.length(F.translate(F.translate(body, " ", ""), BODY_CHARS, ""))
-    return (
-        (F.length(line) - F.length(F.translate(line, "-", "")) >= 6)  # cheap, so most prose ends here
-        & ((label == "") | label.rlike(r"^[A-Ga-g][#b]?$"))
-        & (dashes >= 6)
-        & (dashes / length >= 0.35)
-        & ~body.rlike(r"[A-Za-z]{3,}")
-        & (unknown / length <= 0.15)
-    )
+    label, body = tab_line_parts(F.rtrim(line))
+
+    def looks_like_tab(part: Column) -> Column:
+        name, text, letters = part["label"], part["body"], part["letters"]
+        dashes = F.length(text) - F.length(F.translate(text, "-", ""))
+        unknown = F.length(F.translate(letters, BODY_CHARS, ""))
+        return (
+            ((name == "") | name.rlike(r"^[A-Ga-g][#b]?$"))
+            & (dashes >= 6)
+            & (dashes / F.length(letters) >= 0.35)
+            & ~text.rlike(r"[A-Za-z]{3,}")
+            & (unknown / F.length(letters) <= 0.15)
+        )
+
+    # The parts are bound once by the one-element array; prose lines end at the cheap dash count.
+    parts = F.array(F.struct(label.alias("label"), body.alias("body"), F.translate(body, " ", "").alias("letters")))
+    return (F.length(line) - F.length(F.translate(line, "-", "")) >= 6) & F.exists(parts, looks_like_tab)
 
 
 def tab_blocks(lines: DataFrame, keys: Sequence[str], line_no: str, line: str) -> DataFrame:

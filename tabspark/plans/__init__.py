@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("layout",)
+FAMILIES = ("layout", "attach", "rhythm")
 
 
 def load():

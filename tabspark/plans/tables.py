@@ -96,7 +96,7 @@ GLYPH_SQL = f"""select l_orderkey, item as gid,
   cast(item * 10.0 + (l_partkey % 40) * 0.25 + 2.0 + (l_suppkey % 9) as double) as x1,
   cast((l_suppkey % 6) * 6.0 + (l_partkey % 5) * 0.5 as double) as top,
   cast((l_suppkey % 6) * 6.0 + (l_partkey % 5) * 0.5 + 4.0 + (units % 4) as double) as bottom,
-  cast(l_partkey % 25 as int) as fret, units
+  cast(l_partkey % 25 as int) as fret, cast(l_suppkey % 6 as int) as string, units
   from ({ITEMS_SQL})"""
 
 
@@ -110,5 +110,6 @@ def glyphs(spark: SparkSession, folder: str) -> DataFrame:
         "(l_suppkey % 6) * 6.0D + (l_partkey % 5) * 0.5D as top",
         "(l_suppkey % 6) * 6.0D + (l_partkey % 5) * 0.5D + 4.0D + (units % 4) as bottom",
         "cast(l_partkey % 25 as int) as fret",
+        "cast(l_suppkey % 6 as int) as string",
         "units",
     )

@@ -34,6 +34,6 @@ def tab_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.floor(F.col("item") / PER_SYSTEM).cast("int").alias("sys"),
         F.explode(F.sequence(F.lit(0), F.lit(5))).alias("s"),
     ).selectExpr("l_orderkey", "sys", "s", f"struct(item, {CELL} as cell) as c")
-    rows = cells.groupBy("l_orderkey", "sys", "s").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    body = rows.select("l_orderkey", "sys", "s", F.array_join(F.col("cs.cell"), "").alias("body"))
-    return body.selectExpr("l_orderkey", "sys", "cast(sys * 8 + s as int) as line_no", f"concat({HEAD}, body, {TAIL}) as line")
+    body = "array_join(transform(array_sort(collect_list(c)), x -> x.cell), '')"
+    rows = cells.groupBy("l_orderkey", "sys", "s").agg(F.expr(f"concat({HEAD}, {body}, {TAIL})").alias("line"))
+    return rows.selectExpr("l_orderkey", "sys", "cast(sys * 8 + s as int) as line_no", "line")
