@@ -18,11 +18,9 @@ def majority_filter(df: DataFrame, keys: Sequence[str], value: str, order: Seque
     )
     best = counts.where("_n > 0").groupBy(*keys).agg(
         F.min_by(value, F.struct((-F.col("_n")).alias("n"), "_first")).alias("_v"),
-        F.max(F.struct("_n", (-F.lit(1)).alias("x"))).alias("_b"),
-        F.sum("_n").alias("_voted"),
+        (F.sum("_n") - F.max("_n")).alias("dropped"),
     )
-    kept = df.join(best.select(*keys, F.col("_v").alias(value), (F.col("_voted") - F.col("_b")["_n"]).alias("dropped")), [*keys, value])
-    return kept
+    return df.join(best.withColumnRenamed("_v", value), [*keys, value])
 
 
 def consensus(df: DataFrame, keys: Sequence[str], reading: str) -> DataFrame:

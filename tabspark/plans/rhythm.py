@@ -66,10 +66,10 @@ def split_units(spark, folder):
 
 @query(
     "pack_bars",
-    f"""with recursive {SPLIT_SQL}, i as (select l_orderkey, item, units, sum(units) over (partition by l_orderkey order by item) - units as s from ({ITEMS_SQL})),
+    f"""with recursive {SPLIT_SQL}, i as (select l_orderkey, item, units, cast(sum(units) over (partition by l_orderkey order by item) - units as bigint) as s from ({ITEMS_SQL})),
     b as (select *, unnest(range(s // 32, (s + units - 1) // 32 + 1)) as bar from i),
     c as (select l_orderkey, item, bar, bar > s // 32 as later, least(s + units, (bar + 1) * 32) - greatest(s, bar * 32) as len from b),
-    t as (select l_orderkey, sum(units) as total from i group by 1 having sum(units) % 32 > 0)
+    t as (select l_orderkey, cast(sum(units) as bigint) as total from i group by 1 having sum(units) % 32 > 0)
     select l_orderkey, cast(bar as bigint) as bar, item, k as part, sp.part as units, k > 0 or later as tie from c join sp on sp.u = c.len union all
     select l_orderkey, cast(total // 32 as bigint), null, k, sp.part, false from t join sp on sp.u = 32 - total % 32""",
 )
@@ -127,7 +127,7 @@ def snap_fallback(spark, folder):
     gr(g, pen) as (values (4, 0.0::double), (2, 0.05::double), (1, 0.12::double)),
     s as (select distinct user_id, day, g, pen, s from (select user_id, day, g, pen, 32 / 1440.0::double as s from b, gr where n * g <= 32 union all
       select b.user_id, b.day, g, pen, g * k / gap from b join gp on gp.user_id = b.user_id and gp.day = b.day and gap > 0, gr, (select unnest(range(1, 9)) as k) where n * g <= 32)),
-    t as (select s.*, fb.i, fb.event_id, x * s / g as spot, round_even(x * s / g, 0) as step from s join fb on fb.user_id = s.user_id and fb.day = s.day),
+    t as (select s.*, fb.i, fb.event_id, x * s.s / s.g as spot, round_even(x * s.s / s.g, 0) as step from s join fb on fb.user_id = s.user_id and fb.day = s.day),
     u as (select *, lag(step) over (partition by user_id, day, g, s order by i) as pv from t),
     v as (select user_id, day, g, s, abs(1440 * s - 32) / 32 + 0.5 * max(abs(spot - step)) + pen as cost from u group by user_id, day, g, pen, s
       having bool_and(pv is null or step > pv) and min(step) >= 0 and max(step) * g <= 32 - g and max(abs(spot - step)) <= 0.25),
@@ -311,11 +311,11 @@ def fit_bar(spark, folder):
     "align_numbers",
     f"""with b as (select o_custkey, o_orderkey, bar, bar + 1, case when o_orderkey % 13 > 0 then bar + 1 + case when bar >= 4 then o_custkey % 3 else 0 end + case when o_custkey % 10 = 0 and o_orderkey % 4 = 0 then -2 else 0 end end as num from ({BARS_SQL})),
     r as (select *, row_number() over (partition by o_custkey order by bar) as i, count(*) over (partition by o_custkey) as n, count(num) over (partition by o_custkey) as known, max(num) over (partition by o_custkey) as mx from b),
-    f as (select *, i + coalesce(last_value(num - i ignore nulls) over (partition by o_custkey order by i), 0) as at from r),
-    s as (select *, at - coalesce(lag(at) over (partition by o_custkey order by i), 0) as step from f),
+    f as (select *, i + coalesce(last_value(num - i ignore nulls) over (partition by o_custkey order by i), 0) as place from r),
+    s as (select *, place - coalesce(lag(place) over (partition by o_custkey order by i), 0) as step from f),
     k as (select *, coalesce(known >= 0.8 * n and mx <= 2 * n + 64 and min(step) over (partition by o_custkey) > 0, false) as ok from s)
-    select o_custkey, bar, case when ok then at else i end as position from k union all
-    select o_custkey, null, unnest(range(at - step + 1, at)) from k where ok and step > 1""",
+    select o_custkey, bar, case when ok then place else i end as position from k union all
+    select o_custkey, null, unnest(range(place - step + 1, place)) from k where ok and step > 1""",
 )
 def align_numbers(spark, folder):
     num = "if(o_orderkey % 13 > 0, bar + 1 + if(bar >= 4, o_custkey % 3, 0) + if(o_custkey % 10 = 0 and o_orderkey % 4 = 0, -2, 0), null) as num"
