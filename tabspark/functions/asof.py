@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Ordered, Scan, fill, fill_back, ordered, running_max
+from .ordered import Ordered, fill, fill_back, ordered, running_max
 
 POS, SIDE, TIE, ROW, MARK = "_pos", "_side", "_tie", "_row", "_mark"
 
@@ -21,6 +21,7 @@ def merged(
     mark_pos: Column,
     mark_id: str,
     marks_first: bool = True,
+    like: Ordered | None = None,
 ) -> Ordered:
     """Points and marks of each key on one line; ``_row`` holds a point, ``_mark`` a mark."""
     side = 1 if marks_first else -1
@@ -39,7 +40,7 @@ def merged(
         F.struct(*marks.columns, mark_pos.cast("double").alias("_at")).alias(MARK),
     )
     both = left.unionByName(right, allowMissingColumns=True)
-    return ordered(both, keys, [POS, SIDE, TIE])
+    return ordered(both, keys, [POS, SIDE, TIE], like)
 
 
 def back_to_points(line: Ordered, points: DataFrame, **columns: Column) -> DataFrame:
@@ -111,7 +112,3 @@ def covered(
     withend = ranges.withColumn("_end", end.cast("double"))
     line = merged(points, withend, keys, pos, point_id, start, range_id).add(_far=running_max(F.col(MARK)["_end"]))
     return back_to_points(line, points, **{name: F.coalesce(F.col("_far") >= F.col(POS), F.lit(False))})
-
-
-def fill_marks(line: Ordered, **scans: Scan) -> Ordered:
-    return line.add(**scans)

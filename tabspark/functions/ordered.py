@@ -199,9 +199,7 @@ class Ordered:
 
     def refine(self, more: Sequence[str], order: Sequence[str]) -> Ordered:
         """The same rows under finer keys: when no key was large, no finer key is."""
-        if not self.chunked:
-            return Ordered(self._df, [*self.keys, *more], order)
-        return ordered(self.df, [*self.keys, *more], order)
+        return ordered(self.df, [*self.keys, *more], order, like=self)
 
     def ranged(self, low: float, high: float, **values: str) -> DataFrame:
         """Aggregates (SQL text) of the rows whose first order column lies in [own + low, own + high], low <= 0 <= high.
@@ -306,7 +304,7 @@ def _fields(spark, ddl: str):
     return StructType.fromDDL(ddl).fields
 
 
-def _segments(pdf: pd.DataFrame, parts: list[str]) -> Iterator[tuple[tuple, int, int]]:
+def segments(pdf: pd.DataFrame, parts: list[str]) -> Iterator[tuple[tuple, int, int]]:
     """(key, from, to) of each run of equal keys in a batch."""
     change = np.zeros(len(pdf), dtype=bool)
     change[0] = True
@@ -326,7 +324,7 @@ def _runner(parts, columns, outputs, step, init, chunked):
                 continue
             arrays = {c: pdf[c].to_numpy() for c in columns}
             made: dict[str, list] = {name: [] for name in outputs}
-            for key, begin, end in _segments(pdf, parts):
+            for key, begin, end in segments(pdf, parts):
                 if key != current:
                     current = key
                     state = list(pdf["_entry"].iat[begin]) if chunked else list(init)
@@ -349,7 +347,7 @@ def _exit_runner(parts, step):
             if pdf.empty:
                 continue
             arrays = {c: pdf[c].to_numpy() for c in pdf.columns if c != "_entry"}
-            for key, begin, end in _segments(pdf, parts):
+            for key, begin, end in segments(pdf, parts):
                 if key != current:
                     if current is not None:
                         done.append((*current, [float(v) for v in state]))
@@ -364,9 +362,15 @@ def _exit_runner(parts, step):
     return run
 
 
-def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Ordered:
-    """Rows ready for scans; large keys are cut into chunks of consecutive rows."""
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], like: Ordered | None = None) -> Ordered:
+    """Rows ready for scans; large keys are cut into chunks of consecutive rows.
+
+    ``like``: rows already looked at, of which ``df`` holds no more per key. When they had no large key, the
+    sampling pass over ``df`` is left out.
+    """
     keys, order = list(keys), list(order)
+    if like is not None and not like.chunked and set(like.keys) <= set(keys):
+        return Ordered(df, keys, order)
     every = split_rows(df.sparkSession)
     sampled = F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0
     cuts = df.where(sampled).select(*keys, F.struct(*order).alias("_cut"))

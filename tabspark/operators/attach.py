@@ -302,7 +302,7 @@ def time_signatures(digits: DataFrame, keys: Sequence[str], x0: str, row_y: str,
     """Stacked digits as time signatures: groups close in x with exactly two rows, 1..32 over 1, 2, 4, 8, 16 or 32."""
     line = ordered(digits, keys, [x0, tie]).add(_prev=lag(x0))
     line = line.islands("sign", F.col("_prev").isNull() | (F.col(x0) - F.col("_prev") > gap))
-    rows = anchored_groups(line.df.drop("_prev"), [*keys, "sign"], row_y, tie, 0.2 * size, "row_no")
+    rows = anchored_groups(line.df.drop("_prev"), [*keys, "sign"], row_y, tie, 0.2 * size, "row_no", like=line)
     read = rows.groupBy(*keys, "sign", "row_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(x0, tie, digit))), lambda d: d[digit].cast("string")), "").alias("n"),
         F.min(x0).alias("x"),
@@ -381,7 +381,7 @@ def zone_text(words: DataFrame, staves: DataFrame, keys: Sequence[str], y: str,
 def sized_numbers(digits: DataFrame, keys: Sequence[str], height: Column, k: float = 0.85) -> DataFrame:
     """Small (grace) digits: lower than ``k`` of the staff's 75th-percentile height, found by counting heights."""
     counts = digits.withColumn("_h", height).groupBy(*keys, "_h").agg(F.count("*").alias("_n"))
-    ranks = ordered(counts, keys, ["_h"])
+    ranks = ordered(counts, keys, ["_h"])  # one row per height
     ranks = ranks.add(_to=running_sum("_n"), _all=total_sum("_n"))
     typical = ranks.df.where(F.col("_to") > F.floor(F.col("_all") * 3 / 4)).groupBy(*keys).agg(F.min("_h").alias("_typ"))
     return digits.join(typical, list(keys)).withColumn("small", height < k * F.col("_typ")).drop("_typ")

@@ -63,14 +63,20 @@ def _anchor_step(pos: str, tol: str):
 
 
 def anchored_groups(
-    df: DataFrame, keys: Sequence[str], pos: str, tie: str, tol: Column | float, group: str = "group_no"
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    tie: str,
+    tol: Column | float,
+    group: str = "group_no",
+    like: Ordered | None = None,
 ) -> DataFrame:
     """Groups measured from their first member: a mark joins while it is within the anchor's tolerance.
 
     Adds ``anchor`` (position of the first member) and the group's number in the key.
     """
     reach = tol if isinstance(tol, Column) else F.lit(float(tol))
-    line = ordered(df.withColumn(pos, F.col(pos).cast("double")).withColumn("_tol", reach), keys, [pos, tie])
+    line = ordered(df.withColumn(pos, F.col(pos).cast("double")).withColumn("_tol", reach), keys, [pos, tie], like)
     line = line.fold(_anchor_step(pos, "_tol"), "anchor double", [float("nan"), float("nan")]).add(_a=lag("anchor"))
     line = line.islands(group, F.col("_a").isNull() | (F.col("_a") != F.col("anchor")))
     return line.df.drop("_a", "_tol")

@@ -19,7 +19,7 @@ def sounding_notes(notes: DataFrame, keys: Sequence[str], order: str, tie: str,
     data = line.df.withColumn("_legato", legato)
     first = F.min(F.when(~F.col(tie), F.struct(order, fret, "_legato"))).alias("_f")
     chains = data.where("chain > 0").groupBy(*keys, "chain").agg(first, F.sum(length).alias("sustain"))
-    return chains.select(*keys, F.col("_f")[order].alias(order), F.col("_f")[fret].alias(fret), F.col("_f._legato").alias("legato"), "sustain")
+    return chains.select(*keys, F.col("_f")[order].alias(order), F.col("_f")[fret].alias(fret), F.col("_f._legato").alias("legato"), "chain", "sustain")
 
 
 # Note names, and chord types by intervals over the root, most usual first.
@@ -85,10 +85,11 @@ HAND_BEFORE, HAND_AFTER, HAND_WIDTH, FRETS = 960, 2880, 4, 24  # fixed values: t
 def hand_windows(notes: DataFrame, keys: Sequence[str], tick: str, note_id: str, fret: str, dead: Column) -> DataFrame:
     """Frets the hand covers around each note: at least four, the previous window where nothing is pressed."""
     pressed = notes.withColumn("_f", F.when((F.col(fret) > 0) & ~dead, F.col(fret)))
-    near = ordered(pressed, keys, [tick, note_id]).ranged(-HAND_BEFORE, HAND_AFTER, _lo="min(_f)", _hi="max(_f)")
+    first = ordered(pressed, keys, [tick, note_id])
+    near = first.ranged(-HAND_BEFORE, HAND_AFTER, _lo="min(_f)", _hi="max(_f)")
     wide = F.when(F.col("_hi") - F.col("_lo") + 1 < HAND_WIDTH, F.least(F.lit(FRETS), F.col("_lo") + HAND_WIDTH - 1)).otherwise(F.col("_hi"))
     window = F.when(F.col("_lo").isNotNull(), F.struct(F.col("_lo").alias("low"), wide.alias("high")))
-    line = ordered(near.withColumn("_w", window), keys, [tick, note_id]).add(_in_force=fill("_w"))
+    line = ordered(near.withColumn("_w", window), keys, [tick, note_id], like=first).add(_in_force=fill("_w"))
     return line.df.select(
         *keys, note_id, tick, F.coalesce(F.col("_in_force")["low"], F.lit(1)).alias("low"),
         F.coalesce(F.col("_in_force")["high"], F.lit(HAND_WIDTH)).alias("high"),

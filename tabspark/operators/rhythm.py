@@ -317,7 +317,7 @@ def ramps(
     levels = ordered(steps, keys, ["_at", "_side", "_id"]).fold(_ramp_step, "_from double, _to double", [float(default)]).df
     levels = levels.where("_side = 1").select(*keys, F.col("_id").alias("_ramp"), "_from", "_to")
     pieces = line.df.select(*keys, "_ramp", "pid", "x0", "x1")
-    done = ordered(pieces, [*keys, "_ramp"], ["x0", "pid"]).add(_done=running_sum(F.col("x1") - F.col("x0"), before=True)).df
+    done = ordered(pieces, [*keys, "_ramp"], ["x0", "pid"], like=line).add(_done=running_sum(F.col("x1") - F.col("x0"), before=True)).df
     pieces = done.join(levels.join(whole.select(*keys, "_ramp", "_len"), [*keys, "_ramp"]), [*keys, "_ramp"])
     at = merged(notes, pieces, keys, F.col("x") + slack, "nid", F.col("x0"), "pid").add(_p=fill("_mark"))
     p, x = F.col("_p"), F.col("_row")["x"]
