@@ -155,14 +155,15 @@ def to_tick(spark, folder):
 
 @query(
     "media_time",
-    f"""with e as ({EVENTS_SQL}), s as (select user_id, cast(sum(cast(round(value * 100) as bigint)) as double) / count(*) / 100 - 25 as o, 0.5 + (user_id % 4) * 0.25 as f, case when user_id % 3 > 0 then max(value) end as d from e group by 1)
+    f"""with e as ({EVENTS_SQL}), s as (select user_id, (user_id % 50 - 25)::double as o, (case user_id % 3 when 0 then 0.5 when 1 then 1 else 2 end)::double as f, case when user_id % 3 > 0 then max(value) end as d from e group by 1)
     select event_id, round(case when d is not null then least(greatest(o + value * 1000 / 1000 / f, 0), d) else greatest(o + value * 1000 / 1000 / f, 0) end, 4) as media_s from e join s using (user_id)""",
 )
 def media_time(spark, folder):
     e = events(spark, folder)
-    settings = e.groupBy("user_id").agg((F.sum(F.round(F.col("value") * 100).cast("long")).cast("double") / F.count("*") / 100 - 25).alias("offset"), F.max("value").alias("mx")).selectExpr(
-        "user_id", "offset", "0.5D + (user_id % 4) * 0.25D as tempo_factor", "if(user_id % 3 > 0, mx, null) as duration"
-    )
+    settings = e.groupBy("user_id").agg(F.max("value").alias("mx")).selectExpr(
+        "user_id", "cast(user_id % 50 - 25 as double) as offset", "case user_id % 3 when 0 then 0.5D when 1 then 1D else 2D end as tempo_factor",
+        "if(user_id % 3 > 0, mx, null) as duration",
+    )
     found = P.media_time(e.withColumn("ms", F.col("value") * 1000), settings, USER, "ms")
     return found.select("event_id", F.round("media_s", 4).alias("media_s"))
 
