@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("layout", "attach", "rhythm", "songs", "library")
+FAMILIES = ("layout", "attach", "rhythm", "songs", "library", "feeds")
 
 
 def load():

@@ -647,7 +647,7 @@ def nested_report(spark, folder):
 
 PREVIEW_SQL = f"""n as (select l_orderkey, item // 4 as bar, item % 4 as beat, 1 + cast(l_suppkey % 3 as int) as string, case when l_partkey % 9 = 0 then 'x' when l_partkey % 8 = 0 then '<' || (l_partkey % 25) || '>' when l_partkey % 7 = 0 then '(' || (l_partkey % 25) || ')' else '' || (l_partkey % 25) end
     || case when l_partkey % 9 = 0 then '' else case when l_partkey % 5 = 0 then 'b' else '' end || case when l_partkey % 4 = 0 then '~' else '' end end as cell, units % 6 = 0 as rest, l_orderkey % 3 = 0 as opens, case when l_orderkey % 2 = 0 then 3 else 0 end as closes from ({ITEMS_SQL}) where item < 128),
-  w as (select *, case when rest then 'q' else 'Q' end as mark, greatest(3, case when rest then 0 else length(cell) end + 1) as w, max(beat) over (partition by l_orderkey, bar) as lb from n),
+  w as (select *, case when rest then 'q' else 'Q' end as mark, cast(greatest(3, case when rest then 0 else length(cell) end + 1) as int) as w, max(beat) over (partition by l_orderkey, bar) as lb from n),
   r as (select w.*, s from w, (select unnest(range(4)) as s))"""
 
 
