@@ -10,7 +10,8 @@ travels as one summary row per chunk:
 3. ``groupBy(key, chunk)`` gives the summaries (partial aggregation), a window over the few chunk
    rows of a key turns them into carries, and the carries are joined back on (key, chunk).
 
-When no row was sampled, no key is large: the scan is the plain window, with no join.
+When no row was sampled, no key is large: the scan is the plain window, with no join. With chunks the rows are
+checkpointed before each pass, so a long chain of scans neither repeats work nor grows its plan.
 Orders must be total, ascending and free of nulls; keys must not be null.
 """
 
@@ -228,16 +229,17 @@ class Ordered:
         if not self.chunked:
             added = {name: (s.plain or s.local)(up, down) for name, s in scans.items()}
             return self.map(lambda df: df.withColumns(added))
+        rows = checkpoint(self._df)  # read twice: for the summaries and for the scan itself
         by_chunk = Window.partitionBy(*self.keys).orderBy(CHUNK)
         back = Window.partitionBy(*self.keys).orderBy(F.col(CHUNK).desc())
-        sums = self._df.groupBy(*self.parts).agg(
+        sums = rows.groupBy(*self.parts).agg(
             *[s.summary(self._order_struct()).alias(f"_s_{name}") for name, s in scans.items()]
         )
         carries = sums.select(
             *self.parts,
             *[s.carry(F.col(f"_s_{name}"), by_chunk, back).alias(f"_c_{name}") for name, s in scans.items()],
         )
-        local = self._df.withColumns({name: s.local(up, down) for name, s in scans.items()})
+        local = rows.withColumns({name: s.local(up, down) for name, s in scans.items()})
         joined = local.join(carries, self.parts).withColumns(
             {name: s.combine(F.col(name), F.col(f"_c_{name}")) for name, s in scans.items()}
         )
@@ -260,12 +262,13 @@ class Ordered:
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in self._df.schema.fields), outputs])
         rows = self._df
         if self.chunked:
-            rows = rows.join(self._entries(step, init), self.parts)
+            rows = checkpoint(rows)  # read once a round, and for the result
+            rows = rows.join(self._entries(rows, step, init), self.parts)
         keyed = rows.repartition(*self.parts).sortWithinPartitions(*self.parts, *self.order)
         out = keyed.mapInPandas(_runner(self.parts, columns, fields, step, init, self.chunked), schema)
         return Ordered(out, self.keys, self.order, self.cuts)
 
-    def _entries(self, step: Step, init: State) -> DataFrame:
+    def _entries(self, data: DataFrame, step: Step, init: State) -> DataFrame:
         start = F.array(*[F.lit(float(v)) for v in init]).cast("array<double>")
         before = Window.partitionBy(*self.keys).orderBy(CHUNK)
 
@@ -275,7 +278,7 @@ class Ordered:
             schema = ", ".join([*(f"`{c}` {types[c]}" for c in self.parts), "_exit array<double>"])
             return keyed.mapInPandas(_exit_runner(self.parts, step), schema)
 
-        first = self._df.withColumn("_entry", start)
+        first = data.withColumn("_entry", start)
         known = checkpoint(exits(first).withColumn("_used", start))
         while True:
             entry = F.coalesce(F.lag("_exit").over(before), start)
@@ -283,7 +286,7 @@ class Ordered:
             stale = now.where(F.col("_entry") != F.col("_used")).select(*self.parts, "_entry")
             if stale.isEmpty():
                 return now.select(*self.parts, "_entry")
-            again = exits(self._df.join(stale, self.parts)).join(
+            again = exits(data.join(stale, self.parts)).join(
                 stale.withColumnRenamed("_entry", "_used"), self.parts
             )
             known = checkpoint(known.join(stale, self.parts, "left_anti").unionByName(again))
