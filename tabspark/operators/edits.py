@@ -55,7 +55,8 @@ def apply_note_edits(
     aimed = aimed.join(widest, list(song), "left")
     # A chain's frets are equal, so the edits of a chain form one line: each sees the fret the last one left.
     hit = aimed.where("chain is not null")
-    steps = ordered(hit, [request, *place, "chain"], [seq]).add(_left=lag(F.struct(F.col("_new").alias("f")))).df
+    sent = ordered(edits, [request], [seq])  # a hit is one of the edits sent
+    steps = ordered(hit, [request, *place, "chain"], [seq], like=sent).add(_left=lag(F.struct(F.col("_new").alias("f")))).df
     seen = F.when(F.col("_left").isNull(), F.col("_now")).otherwise(F.col("_left")["f"])
     good = F.coalesce(seen == F.col("expected"), F.lit(False)) & (
         F.col("_new").isNull() | (F.col("_new") <= F.greatest(F.lit(MAX_FRET), F.col("_neck")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.asof import back_to_points, merged
 from ..functions.ordered import (
+    Ordered,
     fill,
     fill_back,
     lag,
@@ -101,9 +102,8 @@ def pack_triplets(items: DataFrame, keys: Sequence[str], order: str, units: str,
     return line.add(bar=running_sum("_closed", before=True)).df.drop("_closed")
 
 
-def snap_fallback(points: DataFrame, keys: Sequence[str], x: str, tie: str, origin: str, end: str, units: int) -> DataFrame:
-    """Onsets in proportion to the bar's width, pushed right to stay apart, then kept inside the bar."""
-    line = ordered(points, keys, [x, tie]).add(_i=number(), _n=total_count())
+def _in_proportion(line: Ordered, x: str, origin: str, end: str, units: int, name: str) -> Ordered:
+    """Proportional onsets of numbered (_i of _n) points: pushed right to stay apart, then kept inside the bar."""
     grid = F.when(F.col("_n") * 2 <= units, 2).otherwise(1)
     span = F.when(F.col(end) > F.col(origin), F.col(end) - F.col(origin)).otherwise(1.0)
     q = F.rint((F.col(x) - F.col(origin)) / span * units / grid) * grid
@@ -111,7 +111,13 @@ def snap_fallback(points: DataFrame, keys: Sequence[str], x: str, tie: str, orig
     line = line.with_columns(_g=grid, _free=q - F.col("_i") * grid).add(_push=running_max("_free"))
     pushed = F.col("_push") + F.col("_i") * F.col("_g")
     onset = F.least(pushed, units - (F.col("_n") - F.col("_i") + 1) * F.col("_g")).cast("int")
-    return line.df.withColumn("onset", onset).drop("_i", "_n", "_g", "_free", "_push")
+    return line.with_columns(**{name: onset}).map(lambda d: d.drop("_g", "_free", "_push"))
+
+
+def snap_fallback(points: DataFrame, keys: Sequence[str], x: str, tie: str, origin: str, end: str, units: int) -> DataFrame:
+    """Onsets in proportion to the bar's width, pushed right to stay apart, then kept inside the bar."""
+    line = ordered(points, keys, [x, tie]).add(_i=number(), _n=total_count())
+    return _in_proportion(line, x, origin, end, units, "onset").df.drop("_i", "_n")
 
 
 GRIDS = ((4, 0.0), (2, 0.05), (1, 0.12))  # fixed values: grid step and its penalty
@@ -131,39 +137,50 @@ def quantize(points: DataFrame, keys: Sequence[str], x: str, tie: str, origin: s
         ).alias("_xs"),
         (F.max(end) - F.min(origin)).alias("_w"),
     )
+    # The filter keeps the sorted array a column of its own instead of being evaluated inside the lambdas below.
+    bars = bars.where(F.size("_xs") > 0)
     pairs = F.zip_with(F.slice("_xs", 1, F.size("_xs") - 1), F.slice("_xs", 2, F.size("_xs") - 1), lambda a, b: b - a)
     gaps = F.when(F.size("_xs") > 1, F.array_distinct(F.transform(F.filter(pairs, lambda g: g > 0), lambda g: F.bround(g, 1))))
-    gaps = F.coalesce(gaps, F.array().cast("array<double>"))
-    grids = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(p).alias("p")) for g, p in GRIDS])
-    tried = bars.select(*keys, "_xs", "_w", gaps.alias("_gaps"), F.explode(grids).alias("_grid"))
-    tried = tried.where(F.size("_xs") * F.col("_grid.g") <= units)
+    bars = bars.withColumn("_gaps", F.coalesce(gaps, F.array().cast("array<double>")))
     own = F.when(F.col("_w") > 0, F.array(units / F.col("_w"))).otherwise(F.array().cast("array<double>"))
     steps = F.sequence(F.lit(1), F.lit(8))
-    by_gap = F.flatten(F.transform("_gaps", lambda gap: F.transform(steps, lambda k: F.col("_grid.g") * k / gap)))
-    scales = F.explode(F.array_distinct(F.concat(own, by_gap)))
-    tried = tried.select(*keys, "_xs", "_w", F.col("_grid.g").alias("_g"), F.col("_grid.p").alias("_p"), scales.alias("_s"))
-    spots = F.transform("_xs", lambda o: o * F.col("_s") / F.col("_g"))
-    tried = tried.withColumn("_spots", spots).withColumn("_steps", F.transform("_spots", lambda p: F.rint(p)))
-    error = F.array_max(F.zip_with("_spots", "_steps", lambda p, q: F.abs(p - q)))
-    last = F.size("_steps")
-    rising = F.forall(
-        F.zip_with(F.slice("_steps", 1, last - 1), F.slice("_steps", 2, last - 1), lambda a, b: b > a), lambda up: up
-    )
-    ok = (
-        (F.when(last > 1, rising).otherwise(True))
-        & (F.element_at("_steps", 1) >= 0)
-        & (F.element_at("_steps", -1) * F.col("_g") <= units - F.col("_g"))
+    grids = F.filter(
+        F.array(*[F.struct(F.lit(g).alias("g"), F.lit(p).alias("p")) for g, p in GRIDS]), lambda grid: F.size("_xs") * grid["g"] <= units
     )
-    cost = F.abs(F.col("_w") * F.col("_s") - units) / units + 0.5 * error + F.col("_p")
-    good = tried.where(ok & (error <= 0.25)).select(
-        *keys, F.struct(cost.alias("c"), (-F.col("_g")).alias("g"), F.col("_s").alias("s")).alias("_rank"),
-        F.transform("_steps", lambda q: (q * F.col("_g")).cast("int")).alias("_on"),
-    )
-    best = good.groupBy(*keys).agg(F.min_by("_on", "_rank").alias("_on"))
-    exact = few.join(best, list(keys))
-    exact = exact.select(*points.columns, F.element_at("_on", F.col("_i").cast("int")).alias("onset"))
-    rest = points.join(best.select(*keys), list(keys), "left_anti")
-    return exact.unionByName(snap_fallback(rest, keys, x, tie, origin, end, units))
+
+    def scales(grid: Column) -> Column:
+        by_gap = F.flatten(F.transform("_gaps", lambda gap: F.transform(steps, lambda k: grid["g"] * k / gap)))
+        found = F.array_distinct(F.concat(own, by_gap))
+        return F.transform(found, lambda s: F.struct(grid["g"].alias("g"), grid["p"].alias("p"), s.alias("s")))
+
+    def placed(c: Column) -> Column:
+        return F.struct(c["g"].alias("g"), c["p"].alias("p"), c["s"].alias("s"), F.transform("_xs", lambda o: o * c["s"] / c["g"]).alias("spots"))
+
+    def stepped(c: Column) -> Column:
+        return F.struct(
+            c["g"].alias("g"), c["p"].alias("p"), c["s"].alias("s"), F.transform(c["spots"], lambda x: F.rint(x)).alias("steps"),
+            F.array_max(F.transform(c["spots"], lambda x: F.abs(x - F.rint(x)))).alias("error"),
+        )
+
+    def fits(c: Column) -> Column:
+        rises = F.aggregate(
+            c["steps"],
+            F.struct(F.lit(float("-inf")).alias("last"), F.lit(True).alias("ok")),
+            lambda acc, q: F.struct(q.alias("last"), (acc["ok"] & (q > acc["last"])).alias("ok")),
+        )["ok"]
+        inside = (F.element_at(c["steps"], 1) >= 0) & (F.element_at(c["steps"], -1) * c["g"] <= units - c["g"])
+        return (c["error"] <= 0.25) & inside & rises
+
+    def ranked(c: Column) -> Column:
+        cost = F.abs(F.col("_w") * c["s"] - units) / units + 0.5 * c["error"] + c["p"]
+        onsets = F.transform(c["steps"], lambda q: (q * c["g"]).cast("int"))
+        return F.struct(cost.alias("cost"), (-c["g"]).alias("g"), c["s"].alias("s"), onsets.alias("onsets"))
+
+    tried = F.transform(F.transform(F.flatten(F.transform(grids, scales)), placed), stepped)
+    best = bars.select(*keys, F.array_min(F.transform(F.filter(tried, fits), ranked))["onsets"].alias("_on")).where("_on is not null")
+    placed_all = _in_proportion(line, x, origin, end, units, "_fallback").df.join(best, list(keys), "left")
+    onset = F.coalesce(F.get("_on", F.col("_i").cast("int") - 1), F.col("_fallback"))
+    return placed_all.select(*points.columns, onset.alias("onset"))
 
 
 def choose_rhythm(columns: DataFrame, keys: Sequence[str], order: str, notated3: str, estimated: str, units: int) -> DataFrame:
