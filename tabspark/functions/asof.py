@@ -112,3 +112,19 @@ def covered(
     withend = ranges.withColumn("_end", end.cast("double"))
     line = merged(points, withend, keys, pos, point_id, start, range_id).add(_far=running_max(F.col(MARK)["_end"]))
     return back_to_points(line, points, **{name: F.coalesce(F.col("_far") >= F.col(POS), F.lit(False))})
+
+
+def close_pairs(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], ends: tuple[Column, Column], other_ends: tuple[Column, Column], tol: float
+) -> DataFrame:
+    """Rows of both sides (structs ``l``, ``r``) that agree at both ends within ``tol``.
+
+    Equal keys and cells of ``tol`` at both ends: the right side visits the nine cells around its own.
+    """
+    cells = [F.floor(e / tol) for e in ends]
+    a = left.select(*keys, cells[0].alias("_c0"), cells[1].alias("_c1"), F.struct("*").alias("l"), *[e.alias(f"_e{i}") for i, e in enumerate(ends)])
+    b = right.select(*keys, F.struct("*").alias("r"), *[e.alias(f"_o{i}") for i, e in enumerate(other_ends)])
+    b = b.withColumn("_c0", F.explode(F.array(*[F.floor(F.col("_o0") / tol) + d for d in (-1, 0, 1)])))
+    b = b.withColumn("_c1", F.explode(F.array(*[F.floor(F.col("_o1") / tol) + d for d in (-1, 0, 1)])))
+    near = (F.abs(F.col("_e0") - F.col("_o0")) <= tol) & (F.abs(F.col("_e1") - F.col("_o1")) <= tol)
+    return a.join(b, [*keys, "_c0", "_c1"]).where(near).select(*keys, "l", "r")

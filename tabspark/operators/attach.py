@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.asof import asof, back_to_points, covered, merged, nearest
+from ..functions.asof import asof, back_to_points, close_pairs, covered, merged, nearest
 from ..functions.ordered import fill, fill_back, lag, lead, ordered, running_max, running_sum, total_sum
 from .layout import anchored_groups
 
@@ -163,15 +163,11 @@ def slides(
     found = back_to_points(
         after, found, after_id=F.when(gap <= far, F.col("_a")["nid"]), _ax=F.when(gap <= far, F.col("_a")["x"])
     )
-    # An arc over both ends: the arc beginning nearest to the first note must also end near the second.
-    line = merged(found, arcs, keys, F.coalesce("_bx", "x0"), "sid", F.col("x0"), "aid").add(_p=fill("_mark"), _q=fill_back("_mark"))
-
-    def spans(arc: Column) -> Column:
-        row = F.col("_row")
-        return (F.abs(arc["x0"] - row["_bx"]) <= far) & (F.abs(arc["x1"] - row["_ax"]) <= far)
-
-    slurred = F.coalesce(spans(F.col("_p")), F.lit(False)) | F.coalesce(spans(F.col("_q")), F.lit(False))
-    found = back_to_points(line, found, _slur=slurred)
+    # An arc over both ends makes the slide legato.
+    both = found.where("before_id is not null and after_id is not null").select(*keys, "sid", "_bx", "_ax")
+    over = close_pairs(both, arcs, keys, (F.col("_bx"), F.col("_ax")), (F.col("x0"), F.col("x1")), far)
+    slurred = over.select(*keys, F.col("l")["sid"].alias("sid"), F.lit(True).alias("_slur")).distinct()
+    found = found.join(slurred, [*keys, "sid"], "left").withColumn("_slur", F.coalesce("_slur", F.lit(False)))
     b, a = F.col("before_id").isNotNull(), F.col("after_id").isNotNull()
     short = F.col("x1") - F.col("x0") <= 2.5 * spacing
     kind = (
@@ -241,21 +237,14 @@ def tie_arcs(notes: DataFrame, arcs: DataFrame, keys: Sequence[str], page_keys:
 def hairpins(strokes: DataFrame, keys: Sequence[str], spacing: float) -> DataFrame:
     """A rising with a falling stroke over one span: opening to the right (+1) or closing (-1).
 
-    Both ends must agree within half a space, so each rising stroke looks at the nearest falling ones only.
+    Both ends must agree within half a space.
     """
-    rising, falling = strokes.where("rising"), strokes.where("not rising")
-    line = merged(rising, falling, keys, F.col("x0"), "sid", F.col("x0"), "sid").add(_p=fill("_mark"), _q=fill_back("_mark"))
-    rows = line.df.where(F.col("_row").isNotNull()).select(
-        *keys, F.col("_row").alias("u"), F.explode(F.array_distinct(F.array("_p", "_q"))).alias("d")
-    )
-    u, d = F.col("u"), F.col("d")
+    shapes = strokes.select(*keys, "x0", "x1", "top", "bottom", "rising").distinct()
+    ends = (F.col("x0"), F.col("x1"))
+    rows = close_pairs(shapes.where("rising"), shapes.where("not rising"), keys, ends, ends, 0.5 * spacing)
+    u, d = F.col("l"), F.col("r")
     left, right = F.abs(u["bottom"] - d["top"]), F.abs(u["top"] - d["bottom"])
-    ok = (
-        (F.abs(u["x0"] - d["x0"]) <= 0.5 * spacing)
-        & (F.abs(u["x1"] - d["x1"]) <= 0.5 * spacing)
-        & (F.abs(right - left) >= 0.3 * spacing)
-        & (F.least(left, right) <= spacing)
-    )
+    ok = (F.abs(right - left) >= 0.3 * spacing) & (F.least(left, right) <= spacing)
     return rows.where(ok).select(
         *keys,
         F.least(u["x0"], d["x0"]).alias("x0"),
@@ -279,10 +268,19 @@ def read_stems(stems: DataFrame, beams: DataFrame, flags: DataFrame, dots: DataF
     (at most 0.7 of the staff's median height) are halves.
     """
     typical = stems.groupBy(*keys).agg(F.percentile(F.col("bottom") - F.col("top"), F.lit(0.5)).alias("_typ"))
-    levels = beams.withColumn("_level", F.bround("top", 0))
-    spread = stems.select(*keys, "sid", "x").join(levels.select(*keys, "_level").distinct(), list(keys))
-    over = covered(spread, levels, [*keys, "_level"], F.col("x"), "sid", F.col("x0") - 2, F.col("x1") + 2, "bid", "_over")
-    count = over.where("_over").groupBy(*keys, "sid").agg(F.count("*").alias("_beams"))
+    # Levels over a stem: each level's beams joined to spans, then spans begun less spans ended before the stem.
+    levels = beams.select(*keys, F.bround("top", 0).alias("_level"), "bid", (F.col("x0") - 2).alias("a"), (F.col("x1") + 2).alias("b"))
+    line = ordered(levels, [*keys, "_level"], ["a", "bid"]).add(_far=running_max("b", before=True))
+    line = line.islands("_span", F.col("_far").isNull() | (F.col("a") > F.col("_far")))
+    spans = line.df.groupBy(*keys, "_level", "_span").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("bid").alias("bid"))
+    none = F.lit(None).cast("long")
+    sweep = (
+        spans.select(*keys, F.col("a").alias("_at"), F.lit(0).alias("_side"), F.col("bid").cast("long").alias("_id"), none.alias("sid"), F.lit(1).alias("_d"))
+        .unionByName(spans.select(*keys, F.col("b").alias("_at"), F.lit(2).alias("_side"), F.col("bid").cast("long").alias("_id"), none.alias("sid"), F.lit(-1).alias("_d")))
+        .unionByName(stems.select(*keys, F.col("x").alias("_at"), F.lit(1).alias("_side"), F.col("sid").cast("long").alias("_id"), F.col("sid").cast("long").alias("sid"), F.lit(0).alias("_d")))
+    )
+    swept = ordered(sweep, keys, ["_at", "_side", "_id"]).add(_beams=running_sum("_d")).df
+    count = swept.where("sid is not null and _beams > 0").select(*keys, "sid", "_beams")
     lone = flags.select(*keys, F.col("x").alias("_at"), "units", "fid")
     both = stems.select(*keys, F.col("x").alias("_at"), "sid", "top", "bottom").unionByName(lone, allowMissingColumns=True)
     near = ordered(both, keys, ["_at"]).ranged(-0.5 * spacing, 1.0 * spacing, _flag="min(units)")
