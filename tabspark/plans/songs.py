@@ -42,12 +42,7 @@ FLAT_SQL = f"""s as ({SONG_SQL}), ev as (select *, case when repeat_times > 1 th
 def flat_bars(spark, folder):
     """Songs whose repeats lie side by side (the SQL walks them bar by bar)."""
     b = song_bars(spark, folder)
-    event = F.when(F.col("repeat_times") > 1, "c").when(F.col("repeat_open"), "o")
-    from ..functions.ordered import fill
-
-    line = ordered(b.withColumn("_event", event), ORDER, ["bar"]).add(_last=fill("_event", before=True)).df
-    flat = P._flat_songs(line, ORDER).where("_flat").select("l_orderkey")
-    return b.join(flat, "l_orderkey", "left_semi")
+    return P.repeat_parts(b, ORDER).df.where("_walked = 0").select(*b.columns)
 
 
 @query("playback_flat", f"with recursive {FLAT_SQL} select l_orderkey, cast(play_idx as bigint) as play_idx, bar from po")
