@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +16,6 @@ from ..functions.ordered import (
     lead,
     number,
     ordered,
-    running_max,
     total_count,
 )
 

@@ -13,7 +13,7 @@ from ..sources import geometry as G
 from ..sources import sinks as K
 from .registry import query
 from .rhythm import CUST, ORDER, TRACKS_SQL, track_bars
-from .tables import BARS_SQL, EVENTS_SQL, GLYPH_SQL, ITEMS_SQL, LINES_SQL, bars, doc_lines, events, glyphs, items, table
+from .tables import BARS_SQL, GLYPH_SQL, ITEMS_SQL, LINES_SQL, bars, doc_lines, events, glyphs, items, table
 
 
 def q(pattern: str) -> str:

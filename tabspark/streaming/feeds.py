@@ -118,7 +118,7 @@ def presence(
     )
 
 
-def job_status(stream: DataFrame, job: str, ts: str, tie: str, status: str, delay: str = WATERMARK) -> DataFrame:
+def job_status(stream: DataFrame, job: str, ts: str, tie: str, status: str) -> DataFrame:
     """Latest status of each job as it changes (update mode)."""
     latest = F.max_by(F.struct(status, ts), F.struct(ts, tie)).alias("_l")
     return stream.groupBy(job).agg(latest).select(job, F.col("_l")[status].alias("status"), F.col("_l")[ts].alias("at"))

@@ -70,3 +70,19 @@ def test_client_key(spark):
     cases = {"2001:db8:1:2:aaaa::1": "2001:db8:1:2::/64", "2001:db8:1:2:bbbb::2": "2001:db8:1:2::/64", "10.0.0.1": "10.0.0.1", "": "unknown"}
     for host, want in cases.items():
         assert spark.range(1).select(rules.client_key(F.lit(host)).alias("v")).first().v == want
+
+
+def test_stalled_jobs_of_the_stream_are_those_of_the_table(spark, tmp_path):
+    df, stream = source(spark, tmp_path)
+    got = {(r.k, round(r.cut_s, 3), r.why) for r in drained(spark, feeds.stalled(stream, "k", "ts", "id"), tmp_path, "stalled").collect()}
+    want = {(r.k, round(r.cut_s, 3), r.why) for r in B.stalled(df, ["k"], "sec", "id").collect()}
+    assert got == want
+
+
+def test_job_status_of_the_stream(spark, tmp_path):
+    df, stream = source(spark, tmp_path)
+    q = feeds.job_status(stream, "k", "ts", "id", "page").writeStream.format("memory").queryName("jobs").outputMode("complete")
+    q = q.option("checkpointLocation", str(tmp_path / "jobs")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    want = df.groupBy("k").agg(F.max_by("page", F.struct("sec", "id")).alias("s"))
+    assert {(r.k, r.status) for r in spark.table("jobs").collect()} == {(r.k, r.s) for r in want.collect()}
