@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe  # noqa: F401
+from . import bpe, toxicity  # noqa: F401
 from .shared import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
