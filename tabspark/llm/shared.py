@@ -53,14 +53,18 @@ HOT_SHARE = 500
 SALTS = 64
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None
+) -> DataFrame:
     """``left`` with the one row that ``right`` has for each key; hot keys of ``left`` are spread over salted copies.
 
     The hot keys are those with 1/HOT_SHARE of the rows of ``left`` or more: at most HOT_SHARE keys, so their list
-    may be broadcast. Null keys match nothing. ``left`` is read twice and should be a stored table.
+    may be broadcast. Null keys match nothing. ``counts`` (key, _n) and ``total`` spare two readings of ``left``, which
+    should be a stored table else.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = left.count()
+    if counts is None:
+        counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = left.count() if total is None else total
     hot = F.broadcast(
         counts.where(F.col("_n") >= max(2, total // HOT_SHARE)).select(F.col(key).alias("_k"), F.lit(True).alias("_hot"))
     )
