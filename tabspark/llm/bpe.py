@@ -29,8 +29,10 @@ from .shared import light_batches, query, table, word_runs
 #: Fixed value: how byte-level vocabularies split a text before any merge.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces a worker remembers; at this number it starts afresh. Longer pieces are not remembered.
-MEMO = 1 << 19
+MEMO = 1 << 20
 MEMO_CHARS = 64
+#: Pieces up to this many bytes are merged in a list, longer ones with a heap.
+SHORT = 64
 
 
 def printable_bytes() -> dict[str, int]:
@@ -80,7 +82,9 @@ class Codec:
             rank[x + y] = made
             self.outer[made] = vocab["".join(pair) if isinstance(pair, list) else pair.replace(" ", "")]
         self.rank = rank
-        self.lengths = sorted({len(t) for t in rank}, reverse=True)
+        self.reach: dict[bytes, int] = {}  # longest token that begins with two bytes
+        for t in rank:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         keys = np.array([a << 32 | b for a, b in self.merge], dtype=np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_made = keys[order], np.array([*self.merge.values()], dtype=np.int64)[order]
@@ -94,8 +98,8 @@ class Codec:
         """Tokens by greedy longest match."""
         out, at, n, rank = [], 0, len(piece), self.rank
         while at < n:
-            for size in self.lengths:
-                if (token := rank.get(piece[at : at + size])) is not None and at + size <= n:
+            for size in range(min(n - at, self.reach.get(piece[at : at + 2], 1)), 0, -1):
+                if (token := rank.get(piece[at : at + size])) is not None:
                     out.append(token)
                     at += size
                     break
@@ -128,6 +132,18 @@ class Codec:
     def merge_exactly(self, piece: bytes) -> list[int]:
         """Tokens of one piece by merging the pair of lowest rank, leftmost first."""
         token, n = list(piece), len(piece)
+        if n <= SHORT:
+            none = len(self.outer)
+            made = [self.merge.get(pair, none) for pair in zip(token, token[1:])]
+            while made and (best := min(made)) < none:
+                i = made.index(best)
+                token[i : i + 2] = [best]
+                del made[i]
+                if i:
+                    made[i - 1] = self.merge.get((token[i - 1], best), none)
+                if i < len(made):
+                    made[i] = self.merge.get((best, token[i + 1]), none)
+            return token
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(made, i, token[i], token[i + 1]) for i in range(n - 1) if (made := self.merge.get((token[i], token[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -160,7 +176,11 @@ class Codec:
         return [self.outer[ts] for ts in tokens]
 
     def remember(self, pieces: Sequence[str]) -> None:
-        for p, ids in zip(pieces, self.learn(pieces)):
+        known = [p for p in pieces if p in self.special]
+        made = [np.array([self.special[p]]) for p in known]
+        if known:
+            pieces = [p for p in pieces if p not in self.special]
+        for p, ids in zip([*pieces, *known], [*self.learn(pieces), *made]):
             k = len(self.place)
             if k == len(self.starts):
                 self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
@@ -171,38 +191,53 @@ class Codec:
             self.used += len(ids)
             self.place[p] = k
 
-    def ids_of(self, pieces: list[str]) -> np.ndarray:
-        """Ids of a run of pieces, one after another."""
+    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of pieces, one after another, and how many each piece has."""
         new = set(pieces).difference(self.place)
         if len(self.place) + len(new) > MEMO:
             self.forget()
             new = set(pieces)
-        long = {p for p in new if len(p) > MEMO_CHARS}
+        long = {p for p in new if len(p) > MEMO_CHARS and p not in self.special}
         if long:  # rare: the run is cut at its long pieces
             out, begin = [], 0
             for i, p in enumerate(pieces):
                 if p in long:
-                    out += [self.ids_of(pieces[begin:i]), self.learn([p])[0].astype(np.int32)]
+                    ids = self.learn([p])[0].astype(np.int32)
+                    out += [self.ids_of(pieces[begin:i]), (ids, np.array([len(ids)]))]
                     begin = i + 1
-            return np.concatenate([*out, self.ids_of(pieces[begin:])])
+            out.append(self.ids_of(pieces[begin:]))
+            return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
         self.remember([*new])
         k = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
         sizes = self.sizes[k]
         total = int(sizes.sum())
         before = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(self.starts[k] - before, sizes) + np.arange(total)] if total else np.zeros(0, np.int32)
+        return self.ids[np.repeat(self.starts[k] - before, sizes) + np.arange(total)], sizes
 
-    def encode(self, text: str) -> Iterator[np.ndarray]:
-        """Ids of a text in runs."""
+    def runs(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, and special tokens as pieces of their own, in bounded lists."""
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
-                yield np.array([self.special[part]], dtype=np.int32)
+                yield [part]
             elif part:
-                for run in word_runs(self.split, part):
-                    yield self.ids_of(run)
+                yield from word_runs(self.split, part)
+
+    def encode(self, text: str) -> Iterator[np.ndarray]:
+        """Ids of a text in runs, for texts of any length."""
+        for run in self.runs(text):
+            yield self.ids_of(run)[0]
 
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.concatenate([np.zeros(0, np.int32), *self.encode(t)]) for t in texts]
+        """Ids of a group of texts of moderate length."""
+        pieces: list[str] = []
+        ends = [0]
+        for t in texts:
+            for run in self.runs(t):
+                pieces += run
+            ends.append(len(pieces))
+        ids, sizes = self.ids_of(pieces)
+        at = np.append(0, np.cumsum(sizes))[ends]
+        return [ids[i:j] for i, j in zip(at[:-1], at[1:])]
 
     def decode(self, ids: Sequence[int]) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", errors="replace")
@@ -243,7 +278,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
             for i, j in light_batches(texts):
-                made = codec.encode_all(texts[i:j])
+                made = codec.encode_all(texts[i:j]) if j - i > 1 else [np.concatenate([*codec.encode(texts[i]), np.zeros(0, np.int32)])]
                 offsets = np.cumsum([0, *map(len, made)])
                 values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(made), pa.int32()))
                 yield _with(batch.slice(i, j - i), ids, values)
@@ -273,22 +308,23 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         codec = _codec(raw.value)
         for batch in batches:
             counts, of_ids, of_texts = [], [], []
-            for t in batch.column(1):
-                n, named, decoded = 0, hashlib.sha256(), hashlib.sha256()
-                tail = b""
-                for run_ids in codec.encode(t.as_py() or ""):
-                    some = run_ids.tolist()
-                    if some:
-                        named.update(((("," if n else "") + ",".join([codec.names[i] for i in some]))).encode())
-                        n += len(some)
-                        tail += b"".join([codec.bytes[i] for i in some])
-                        whole = _whole_letters(tail)
-                        decoded.update(tail[:whole].decode("utf-8", errors="replace").encode())
-                        tail = tail[whole:]
-                decoded.update(tail.decode("utf-8", errors="replace").encode())
-                counts.append(n)
-                of_ids.append(named.hexdigest())
-                of_texts.append(decoded.hexdigest())
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, j in light_batches(texts):
+                for ids in ([x] for x in codec.encode_all(texts[i:j])) if j - i > 1 else [codec.encode(texts[i])]:
+                    n, named, decoded, tail = 0, hashlib.sha256(), hashlib.sha256(), b""
+                    for part in ids:
+                        some = part.tolist()
+                        if some:
+                            named.update((("," if n else "") + ",".join([codec.names[k] for k in some])).encode())
+                            n += len(some)
+                            tail += b"".join([codec.bytes[k] for k in some])
+                            whole = _whole_letters(tail)
+                            decoded.update(tail[:whole].decode("utf-8", errors="replace").encode())
+                            tail = tail[whole:]
+                    decoded.update(tail.decode("utf-8", errors="replace").encode())
+                    counts.append(n)
+                    of_ids.append(named.hexdigest())
+                    of_texts.append(decoded.hexdigest())
             made = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
