@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, covertree, licenses, pseudonyms, setsketch, tiling, toxicity, warc  # noqa: F401
+from . import bpe, covertree, licenses, pseudonyms, quotations, setsketch, tiling, toxicity, warc  # noqa: F401
 from .shared import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
