@@ -286,6 +286,23 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     return docs.mapInArrow(run, _schema(docs, ids, "array<int>"))
 
 
+def encode_checked(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", n: str = "n_tokens", exact: str = "exact") -> DataFrame:
+    """As ``encode``, with the number of ids and whether they decode to the text again."""
+    raw = vocabulary(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(raw.value)
+        for batch in batches:
+            lists = batch.column(batch.schema.names.index(ids))
+            texts = batch.column(batch.schema.names.index(text))
+            same = [codec.decode(x.values.to_numpy().tolist()) == (t.as_py() or "") for x, t in zip(lists, texts)]
+            yield _with(_with(batch, n, lists.value_lengths().cast(pa.int64())), exact, pa.array(same, pa.bool_()))
+
+    coded = encode(docs, path, text, ids)
+    schema = _schema(coded, n, "long")
+    return coded.mapInArrow(run, f"{schema}, `{exact}` boolean")
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows with the texts of their ids; bytes that are no UTF-8 become replacement letters."""
     raw = vocabulary(rows.sparkSession, path)

@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +153,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def select(docs: DataFrame, model: Model, keep: int = 0, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose prediction is ``keep``; texts are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = shared.value.score(batch.column(batch.schema.names.index(text)).to_pylist())
+            yield batch.filter(pa.array((s >= 0.5) == bool(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op1_toxicity")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
