@@ -40,7 +40,9 @@ NOTICES = [
 #: Pairs of two of these words are too common to index.
 COMMON = frozenset("a and any are as at by except for free in is it may not of on or out that the this to with you".split())
 DRIFT = 3
+#: Votes that a notice needs; short ones, of up to SHORT words, need all.
 SHARE = 0.75
+SHORT = 8
 
 
 def templates() -> list[tuple[int, str, bool, int, int, str, str, int]]:
@@ -78,7 +80,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.sum("c").alias("c"), F.bit_or("seen").alias("seen"), F.min("d").alias("d"), (F.max("hi") - F.min("lo") + 2).alias("length")
     )
     share = F.bit_count("seen") / F.col("pairs")
-    good = F.when(F.col("base"), share == 1).otherwise((share >= SHARE) & (F.col("length") <= F.col("size") + 2 * DRIFT))
+    good = F.when(F.col("base"), share == 1).when(F.col("size") <= SHORT, (share == 1) & (F.col("length") <= F.col("size") + 2 * DRIFT)).otherwise((share >= SHARE) & (F.col("length") <= F.col("size") + 2 * DRIFT))
     place = F.col("base") & good
     found = spans.groupBy(*text_id).agg(
         F.max(F.when(F.col("k") == -1, F.col("c"))).alias("c"),
@@ -106,7 +108,7 @@ def _sql() -> str:
   s as (select r, k, label, base, size, pairs, run, len(list_distinct(flatten(list(seen)))) as hit, min(d) as d, max(hi) - min(lo) + 2 as length
     from u group by all),
   h as (select *, hit / pairs as share from s),
-  ok as (select *, case when base then share = 1 else share >= {SHARE} and length <= size + {2 * DRIFT} end as good from h),
+  ok as (select *, case when base then share = 1 else share >= case when size <= {SHORT} then 1 else {SHARE} end and length <= size + {2 * DRIFT} end as good from h),
   f as (select r, count(*) filter (base and good) as n_base, min(d) filter (base and good) as first_word, max(d) filter (base and good) as last_word,
     string_agg(distinct label, ',' order by label) filter (base and good) as base_labels,
     string_agg(distinct label, ',' order by label) filter (good) as labels, max(share) filter (good) as score from ok group by r)
