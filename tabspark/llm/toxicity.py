@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import query, table, word_runs
+from .shared import query, stored, table, word_runs
 
 WORDS = re.compile(r"\w+")
 FOLDS = 5
@@ -134,9 +134,23 @@ def fit(
             found = [sorted(distinct_words(t)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "_p": pdf["_p"], "words": found})
 
-    sets = texts.mapInPandas(words, "doc_id long, _p int, words array<string>").toPandas().sort_values(["_p", "doc_id"])
-    positive = [set(w) for w in sets.loc[sets["_p"] == 1, "words"]]
-    other = [set(w) for w in sets.loc[sets["_p"] == 0, "words"]]
+    sets = stored(texts.mapInPandas(words, "doc_id long, _p int, words array<string>"))
+    n_p, n_u = sets.agg(F.coalesce(F.sum("_p"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_p")), F.lit(0))).first()
+    counts = stored(sets.select("_p", F.explode("words").alias("w")).groupBy("w").agg(F.sum("_p").alias("p"), F.sum(1 - F.col("_p")).alias("u")))
+    p, u = (F.col("p") + 0.5) / (n_p + 1.0), (F.col("u") + 0.5) / (n_u + 1.0)
+    gain = p * F.log(p / u) + (1 - p) * F.log((1 - p) / (1 - u))
+    chance = 2 * np.log(max(2, counts.count()))
+    best = counts.where((F.col("p") > 0) & (2 * n_p * gain > chance)).orderBy(gain.desc(), "w").limit(features)
+    # Only the kept words of the sample come to the driver.
+    kept = docs.sparkSession.sparkContext.broadcast(frozenset(r["w"] for r in best.select("w").collect()))
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(words=[sorted(kept.value.intersection(w)) for w in pdf["words"]])
+
+    rows = sets.mapInPandas(known, sets.schema).toPandas().sort_values(["_p", "doc_id"])
+    positive = [set(w) for w in rows.loc[rows["_p"] == 1, "words"]]
+    other = [set(w) for w in rows.loc[rows["_p"] == 0, "words"]]
     return train(positive, other, confirmed / n, features, models)
 
 
