@@ -30,7 +30,7 @@ from .shared import query, salted_join, stored, table
 
 GRAM = 32
 SIZES = (64, 8, 1)  # offsets in a block, level by level
-BITS = 27  # of the bitmaps that spare shuffles; their size is fixed
+BITS = 25  # of the bitmaps that spare shuffles; their size is fixed
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -175,26 +175,32 @@ def _opened(slices: DataFrame, length: int, size: int, whole: int) -> DataFrame:
     """Nodes of blocks of ``size`` offsets inside the blocks of ``whole`` offsets that have their text at hand."""
     top = length - GRAM
 
+    def opened(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf["slice"].map(len).to_numpy()
+        hashes = Hashes(b"".join(pdf["slice"]))  # one pass over all slices
+        ends = np.cumsum(sizes)
+        lo = np.maximum(pdf["lo"].to_numpy(), pdf["d0"].to_numpy())
+        hi = np.minimum(pdf["hi"].to_numpy(), pdf["d0"].to_numpy() + whole - 1)
+        first = lo // size
+        blocks = hi // size - first + 1
+        k = np.repeat(np.arange(len(pdf)), blocks)
+        d0 = (first[k] + np.arange(len(k)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * size
+        d1 = np.minimum(d0 + size - 1, top)
+        begin, end = (ends - sizes)[k], ends[k]
+        at = begin + (pdf["a"] - pdf["begin"]).to_numpy()[k]
+        inside = (at - d1 >= begin) & (at - d0 + length <= end)
+        core = hashes.of(np.clip(at - d0, begin, end), np.clip(at - d1 + length, begin, end), d0 * 64 + size)
+        union = hashes.of(np.clip(at - d1, begin, end), np.clip(at - d0 + length, begin, end), d0 * 64 + size + (1 << 20))
+        uid, a = pdf["uid"].to_numpy()[k], pdf["a"].to_numpy()[k]
+        union = np.where(inside, union, _identity(uid, a, d0 * 64 + size))
+        of = {"node": pdf["node"].to_numpy()[k], "uid": uid, "a": a, "d0": d0.astype(np.int32)}
+        of |= {"lo": np.maximum(d0, pdf["lo"].to_numpy()[k]).astype(np.int32), "hi": np.minimum(d1, pdf["hi"].to_numpy()[k]).astype(np.int32)}
+        return pd.DataFrame(of | {"core": core.view(np.int64), "union": union.view(np.int64), "need": pdf["need"].to_numpy()[k]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                hashes = Hashes(r.slice)
-                lo, hi = max(r.lo, r.d0), min(r.hi, r.d0 + whole - 1)
-                d0 = np.arange(lo // size * size, hi + 1, size)
-                d1 = np.minimum(d0 + size - 1, top)
-                at, n = r.a - r.begin, len(r.slice)
-                inside = (at - d1 >= 0) & (at - d0 + length <= n)
-                core = hashes.of(np.clip(at - d0, 0, n), np.clip(at - d1 + length, 0, n), d0 * 64 + size)
-                union = hashes.of(np.clip(at - d1, 0, n), np.clip(at - d0 + length, 0, n), d0 * 64 + size + (1 << 20))
-                own = _identity(np.full(len(d0), r.uid), np.full(len(d0), r.a), d0 * 64 + size)
-                union = np.where(inside, union, own)
-                k = len(d0)
-                of = {"node": np.full(k, r.node), "uid": np.full(k, r.uid), "a": np.full(k, r.a), "d0": d0}
-                of |= {"lo": np.maximum(d0, r.lo), "hi": np.minimum(d1, r.hi), "core": core.view(np.int64), "union": union.view(np.int64)}
-                out.append(pd.DataFrame(of | {"need": np.full(k, r.need)}))
-            if out:
-                yield pd.concat(out, ignore_index=True).astype({"d0": "int32", "lo": "int32", "hi": "int32"})
+            for k in range(0, len(pdf), 2048):
+                yield opened(pdf.iloc[k : k + 2048])
 
     return slices.mapInPandas(run, NODE + ", need boolean")
 
