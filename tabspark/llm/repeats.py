@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import query, salted_join, stored, table
+from .shared import bitmap, in_bitmap, query, salted_join, stored, table
 
 GRAM = 32
 SIZES = (64, 8, 1)  # offsets in a block, level by level
@@ -111,21 +111,6 @@ def nodes_of(raw: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield a + left, q, lo, hi, core, union, inside
 
 
-def _bitmap(rows: DataFrame, name: str) -> np.ndarray:
-    """Bits for the values of a hash column: at most 2**(BITS - 6) rows reach the driver."""
-    place = F.shiftrightunsigned(name, 64 - BITS)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    words = rows.groupBy((place / 64).cast("long").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> _U(64 - BITS)
-    return ((bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1)).astype(bool)
-
-
 def _identity(uid: np.ndarray, a: np.ndarray, q: np.ndarray) -> np.ndarray:
     return _mix(_mix(uid.astype(np.uint64) * _U(_BASE) + a.astype(np.uint64)) + q.astype(np.uint64))
 
@@ -213,10 +198,10 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         return (nodes[4].view(np.int64),)
 
     counted = _scan(docs, length, cores, "core long").groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    known = spark.sparkContext.broadcast(_bitmap(counted, "core"))
+    known = spark.sparkContext.broadcast(bitmap(counted, "core", BITS))
 
     def repeated(uid, raw, nodes):
-        keep = _has(known.value, nodes[4])
+        keep = in_bitmap(known.value, BITS, nodes[4])
         a, q, lo, hi, core, union, inside = (x[keep] for x in nodes)
         own = _identity(np.full(len(a), uid), a, q)
         ids = [own.view(np.int64), np.full(len(a), uid), a, (q * SIZES[0]).astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)]
@@ -226,12 +211,12 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     matched, reps = _level(nodes)
     span = lambda m: m.select("uid", (F.col("a") - F.col("hi")).alias("lo"), (F.col("a") - F.col("lo")).alias("hi"))
     found = [stored(span(matched))]
-    wanted = spark.sparkContext.broadcast(_bitmap(reps, "node"))
+    wanted = spark.sparkContext.broadcast(bitmap(reps, "node", BITS))
 
     def texts(uid, raw, nodes):
         a, q = nodes[0], nodes[1]
         own = _identity(np.full(len(a), uid), a, q)
-        k = np.flatnonzero(_has(wanted.value, own))
+        k = np.flatnonzero(in_bitmap(wanted.value, BITS, own))
         d0 = q[k] * SIZES[0]
         begin = np.maximum(0, a[k] - np.minimum(d0 + SIZES[0] - 1, length - GRAM))
         cut = np.empty(len(k), dtype=object)

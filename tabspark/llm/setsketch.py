@@ -19,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, query, salted_join, stored, table
+from .shared import bitmap, components, in_bitmap, query, salted_join, stored, table
 
 #: Base of the logarithmic scale, rate of the exponential variables and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BAND = 5
-HUBS = 64
+HUBS, HUB_CLASSES = (4, 64), 1 << 14
 MEMO = 1 << 20
+BITS = 24
 
 
 class WordHashes(dict):
@@ -152,7 +154,8 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, registers: int) -
     """Pairs (u, v) that sizes and the estimate do not rule out: 0.2 below the threshold is more than five deviations."""
     info = classes.select(F.col("rep").alias("v"), F.col("registers").alias("rv"), F.col("n_shingles").alias("nv"))
     heads = info.toDF("u", "ru", "nu")
-    both = salted_join(pairs.join(info, "v"), heads, "u", counts=pairs.groupBy("u").agg(F.count("*").alias("_n")), total=pairs.count())
+    counts = stored(pairs.groupBy("u").agg(F.count("*").alias("_n")))
+    both = salted_join(pairs.join(info.hint("merge"), "v"), heads, "u", counts=counts)
     both = both.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,8 +172,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """Pairs (u, v) whose full sets reach the threshold; a hub with many partners is read by several tasks."""
     counts = pairs.groupBy("u").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
     split = pairs.join(counts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    members = split.select("u", "part", "v").join(texts.toDF("v", "text"), "v").select("u", "part", "v", "text")
-    heads = split.select("u", "part").distinct().join(texts.toDF("u", "text"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
+    members = split.select("u", "part", "v").join(texts.toDF("v", "text").hint("merge"), "v").select("u", "part", "v", "text")
+    heads = split.select("u", "part").distinct().join(texts.toDF("u", "text").hint("merge"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
     rows = heads.unionByName(members).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,10 +200,29 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return rows.mapInPandas(run, "u long, v long").distinct()
 
 
+def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, text) of the documents with these ids; a bitmap of fixed size keeps most others out of the shuffle."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), "h", BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(wanted.value, BITS, batch.column(2).to_numpy())))
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("doc_id"))
+    return rows.mapInArrow(run, rows.schema).drop("h").join(ids.hint("merge"), "doc_id")
+
+
 def _next_hubs(outside: DataFrame) -> DataFrame:
-    """(bucket, hubs): at most HUBS members, one for each of HUBS hash classes of ids, so nothing large is collected."""
-    some = outside.groupBy("bucket", F.pmod(F.xxhash64("next"), F.lit(HUBS)).alias("h")).agg(F.min(F.struct("next", "next_label")).alias("hub"))
-    return some.groupBy("bucket").agg(F.collect_list("hub").alias("hubs"))
+    """(bucket, hubs): the first few members in the order of a hash, which is the same in all buckets.
+
+    Small buckets have up to HUBS[1] hubs, large ones HUBS[0], so the pairs of a round are in proportion to the members.
+    Members come from at most HUB_CLASSES hash classes, one of each, so nothing large is collected.
+    """
+    some = outside.groupBy("bucket", "size", F.pmod(F.xxhash64("next"), F.lit(HUB_CLASSES)).alias("h")).agg(
+        F.min(F.struct(F.xxhash64("next").alias("x"), "next", "next_label")).alias("hub")
+    )
+    most = F.greatest(F.lit(HUBS[0]), F.least(F.lit(HUBS[1]), F.floor(HUBS[1] ** 2 / F.col("size")))).cast("int")
+    return some.groupBy("bucket", "size").agg(F.array_sort(F.collect_list("hub")).alias("hubs")).select("bucket", F.slice("hubs", 1, most).alias("hubs"))
 
 
 def near_documents(
@@ -225,8 +247,8 @@ def near_documents(
             total=classes.count() * (registers // BAND),
         )
     )
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id"))
+    ids = stored(members.select(F.col("rep").alias("doc_id")).distinct())
+    texts = stored(_texts(docs, ids, key, text))
     pairs = stored(members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct())
     tested, edges, hubs_done = [], None, None
     while True:
@@ -234,17 +256,17 @@ def near_documents(
         tested.append(pairs)
         edges = found if edges is None else edges.unionByName(found)
         joined = stored(components(edges, "u", "v"))
-        labelled = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        labelled = members.join(joined.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
         sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("k")).where("k > 1")
-        open_buckets = stored(labelled.join(main, "bucket"))
-        outside = open_buckets.where("label <> main").select("bucket", F.col("rep").alias("next"), F.col("label").alias("next_label"))
+        open_buckets = stored(labelled.join(main.hint("merge"), "bucket"))
+        outside = open_buckets.where("label <> main").select("bucket", "size", F.col("rep").alias("next"), F.col("label").alias("next_label"))
         if hubs_done is not None:
             outside = outside.join(hubs_done, ["bucket", "next"], "left_anti")
         nexts = stored(_next_hubs(outside))
         if nexts.isEmpty():
             break
-        chosen = nexts.select("bucket", F.explode("hubs").alias("h")).select("bucket", "h.*")
+        chosen = nexts.select("bucket", F.explode("hubs").alias("h")).select("bucket", "h.next", "h.next_label")
         hubs_done = chosen.drop("next_label") if hubs_done is None else hubs_done.unionByName(chosen.drop("next_label"))
         crossed = open_buckets.join(chosen, "bucket").where("label <> next_label")
         new = crossed.select(F.least("next", "rep").alias("u"), F.greatest("next", "rep").alias("v")).distinct()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +60,13 @@ def salted_join(
     """``left`` with the one row that ``right`` has for each key; hot keys of ``left`` are spread over salted copies.
 
     The hot keys are those with 1/HOT_SHARE of the rows of ``left`` or more: at most HOT_SHARE keys, so their list
-    may be broadcast. Null keys match nothing. ``counts`` (key, _n) and ``total`` spare two readings of ``left``, which
-    should be a stored table else.
+    may be broadcast. Null keys match nothing. ``counts`` (key, _n) and ``total`` spare a reading of ``left``, which
+    should be a stored table else; a larger ``total`` only makes fewer keys hot.
     """
     if counts is None:
-        counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = left.count() if total is None else total
+        counts = stored(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")))
+    if total is None:
+        total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = F.broadcast(
         counts.where(F.col("_n") >= max(2, total // HOT_SHARE)).select(F.col(key).alias("_k"), F.lit(True).alias("_hot"))
     )
@@ -74,7 +76,8 @@ def salted_join(
     copies = right.join(hot, F.col(key) == F.col("_k"), "left").drop("_k")
     salts = F.when(F.col("_hot"), F.array(*[F.lit(i) for i in range(SALTS)])).otherwise(F.array(F.lit(0)))
     copies = copies.withColumn("_salt", F.explode(salts)).drop("_hot")
-    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+    # Both sides grow with the data, so neither may be broadcast.
+    return spread.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -93,20 +96,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 now.select(F.col("v").alias("id"), F.col("v").alias("component"))
             ).groupBy("id").agg(F.min("component").alias("component"))
         before = state
-        both = stored(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(
-            salted_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, "u")
-        now = stored(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            .distinct()
-        )
+        rows = 2 * state[0]
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n")))
+        passed = salted_join(both, least.drop("_n"), "u", counts=least.drop("m"), total=rows).where("v > u")
+        large = stored(passed.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")))
+        small = salted_join(large, least.drop("_n"), "u", counts=least.drop("m"), total=rows)
+        ends = F.explode(F.array("v", "u")).alias("v")
+        now = stored(small.select(F.col("m").alias("u"), ends).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+
+def bitmap(rows: DataFrame, hashes: str, bits: int) -> np.ndarray:
+    """2**bits bits, set at the first bits of the hashes: at most 2**(bits - 6) rows reach the driver."""
+    place = F.shiftrightunsigned(hashes, 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = rows.groupBy((place / 64).cast("long").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the bitmap: all that are, and a few others."""
+    place = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    return ((words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 #: Longer texts are cut into words piece by piece.

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .setsketch import _HASHES, _mix
-from .shared import query, salted_join, stored, table
+from .shared import bitmap, in_bitmap, query, salted_join, stored, table
 
 SEED = 5
 COVERAGE = 0.8
@@ -116,17 +116,8 @@ def _seeds(rows: DataFrame, key: str, seed: int, distinct: bool) -> DataFrame:
     return rows.select(key, "words").mapInPandas(run, f"h long, {key} long")
 
 
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    place = F.shiftrightunsigned("h", 64 - BITS)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    words = seeds.groupBy((place / 64).cast("long").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()  # at most 2**(BITS - 6) rows
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def _runs(docs: DataFrame, bitmap: np.ndarray, seed: int, key: str, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _runs(docs: DataFrame, words_of_items: np.ndarray, seed: int, key: str, text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(words_of_items)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = shared.value
@@ -134,8 +125,7 @@ def _runs(docs: DataFrame, bitmap: np.ndarray, seed: int, key: str, text: str) -
             out = []
             for i, t in zip(pdf["doc_id"], pdf["text"]):
                 words = word_hashes(t)
-                place = rolling(words, seed) >> np.uint64(64 - BITS)
-                may = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+                may = in_bitmap(bits, BITS, rolling(words, seed))
                 if may.any():
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], may.astype(np.int8), [0]])))
                     out += [(i, int(s), words[s : e + seed - 1].tobytes()) for s, e in zip(edges[::2], edges[1::2])]
@@ -151,7 +141,7 @@ def matches(
     """(doc_id, item_id, n_words, covered, n_tiles) of every item found in a document."""
     items = items_of(benchmark, seed)
     of_items = stored(_seeds(items, "item_id", seed, False).groupBy("h", "item_id").agg(F.count("*").alias("n")))
-    runs = stored(_runs(docs, _bitmap(of_items), seed, key, text))
+    runs = stored(_runs(docs, bitmap(of_items, "h", BITS), seed, key, text))
     of_docs = stored(_seeds(runs, "doc_id", seed, True).distinct())
     partners = of_items.groupBy("h").agg(F.collect_list(F.struct("item_id", "n")).alias("items"))  # distinct items only
     both = salted_join(of_docs, partners, "h").select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.*")

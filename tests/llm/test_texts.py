@@ -112,7 +112,7 @@ def test_near_documents_without_rows(spark):
 
 def test_chain_of_near_copies_needs_more_hubs(spark, monkeypatch):
     """A bucket whose smallest member is linked with few of the others; the rest must still be linked."""
-    monkeypatch.setattr(setsketch, "HUBS", 1)
+    monkeypatch.setattr(setsketch, "HUBS", (1, 1))
     words = [f"w{i}" for i in range(400)]
     rows = [(k, " ".join(words[6 * k : 6 * k + 200])) for k in range(20)]
     df = setsketch.near_documents(spark.createDataFrame(rows, DOCS), width=3, percent=85)
