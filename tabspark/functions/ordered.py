@@ -12,12 +12,13 @@ travels as one summary row per chunk:
 
 When no row was sampled, no key is large: the scan is the plain window, with no join. With chunks the rows are
 checkpointed before each pass, so a long chain of scans neither repeats work nor grows its plan.
-Orders must be total, ascending and free of nulls; keys must not be null.
+Orders must be total, ascending and free of nulls. Null keys are keys like others: all joins on keys are null-safe.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -212,7 +213,7 @@ class Ordered:
             return self._df.withColumns(_range_frame(values, self.keys, pos, low, high))
         at = F.col(pos)
         spots = F.transform("_cuts", lambda c: c[pos])
-        visits = self._df.drop(CHUNK).join(self.cuts, self.keys, "left").withColumn("_spots", spots)
+        visits = meet(self._df.drop(CHUNK), self.cuts, self.keys, "left").withColumn("_spots", spots)
         home = cuts_up_to(F.col("_cuts"), self._order_struct())
         first = cuts_up_to(F.col("_spots"), at - high, strict=True)
         last = cuts_up_to(F.col("_spots"), at - low)
@@ -240,7 +241,7 @@ class Ordered:
             *[s.carry(F.col(f"_s_{name}"), by_chunk, back).alias(f"_c_{name}") for name, s in scans.items()],
         )
         local = rows.withColumns({name: s.local(up, down) for name, s in scans.items()})
-        joined = local.join(carries, self.parts).withColumns(
+        joined = meet(local, carries, self.parts).withColumns(
             {name: s.combine(F.col(name), F.col(f"_c_{name}")) for name, s in scans.items()}
         )
         return Ordered(joined.drop(*[f"_c_{name}" for name in scans]), self.keys, self.order, self.cuts)
@@ -263,7 +264,7 @@ class Ordered:
         rows = self._df
         if self.chunked:
             rows = checkpoint(rows)  # read once a round, and for the result
-            rows = rows.join(self._entries(rows, step, init), self.parts)
+            rows = meet(rows, self._entries(rows, step, init), self.parts)
         keyed = rows.repartition(*self.parts).sortWithinPartitions(*self.parts, *self.order)
         out = keyed.mapInPandas(_runner(self.parts, columns, fields, step, init, self.chunked), schema)
         return Ordered(out, self.keys, self.order, self.cuts)
@@ -286,10 +287,15 @@ class Ordered:
             stale = now.where(F.col("_entry") != F.col("_used")).select(*self.parts, "_entry")
             if stale.isEmpty():
                 return now.select(*self.parts, "_entry")
-            again = exits(data.join(stale, self.parts)).join(
-                stale.withColumnRenamed("_entry", "_used"), self.parts
-            )
-            known = checkpoint(known.join(stale, self.parts, "left_anti").unionByName(again))
+            again = meet(exits(meet(data, stale, self.parts)), stale.withColumnRenamed("_entry", "_used"), self.parts)
+            known = checkpoint(meet(known, stale.select(*self.parts), self.parts, "left_anti").unionByName(again))
+
+
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where nulls are equal; the keys come out once."""
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(other, reduce(lambda a, b: a & b, same), how).drop(*[f"_of_{k}" for k in keys])
 
 
 def _range_frame(values: dict[str, str], parts: list[str], pos: str, low: float, high: float) -> dict[str, Column]:
@@ -313,10 +319,11 @@ def segments(pdf: pd.DataFrame, parts: list[str]) -> Iterator[tuple[tuple, int,
     change[0] = True
     arrays = [pdf[p].to_numpy() for p in parts]
     for values in arrays:
-        change[1:] |= values[1:] != values[:-1]
+        null = pd.isna(values)
+        change[1:] |= (values[1:] != values[:-1]) & ~(null[1:] & null[:-1])
     cuts = np.flatnonzero(change)
     for begin, end in zip(cuts, [*cuts[1:], len(pdf)]):
-        yield tuple(values[begin] for values in arrays), begin, end
+        yield tuple(None if pd.isna(values[begin]) else values[begin] for values in arrays), begin, end
 
 
 def _runner(parts, columns, outputs, step, init, chunked):
@@ -381,7 +388,7 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], like: Orde
         return Ordered(df, keys, order)
     per_key = cuts.groupBy(*keys).agg(F.array_sort(F.collect_set("_cut")).alias("_cuts"))
     place = cuts_up_to(F.col("_cuts"), F.struct(*order))
-    chunked = df.join(per_key, keys, "left").withColumn(CHUNK, place).drop("_cuts")
+    chunked = meet(df, per_key, keys, "left").withColumn(CHUNK, place).drop("_cuts")
     return Ordered(chunked, keys, order, per_key)
 
 

@@ -110,3 +110,12 @@ def test_longest_increasing(spark):
         got.setdefault(row.k, []).append(row.i)
     assert {k: sorted(v) for k, v in got.items()} == {k: longest(v) for k, v in cases.items()}
     assert sorted(got[0]) == [0, 1, 3, 5]
+
+
+def test_null_keys_survive_in_chunks(spark, chunks):
+    rows = [(None if i % 2 else 1, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, i long")
+    line = O.ordered(df, ["k"], ["i"])
+    assert line.chunked
+    got = {r["i"]: r["n"] for r in line.add(n=O.number()).df.collect()}
+    assert got == {i: i // 2 + 1 for i in range(200)}
