@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.asof import back_to_points, merged
-from ..functions.ordered import fill, fill_back, lag, lead, number, ordered, running_max, total_count
+from ..functions.ordered import fill, fill_back, lag, lead, number, ordered, running_max, running_sum, total_count
 from .rhythm import split_units
 
 
@@ -34,27 +34,6 @@ def pick_carrier(lyrics: DataFrame, beats: DataFrame, song: Sequence[str], track
     return source.join(best, list(song), "left")
 
 
-def _assign_step(columns, state):
-    previous, joined = state
-    targets = []
-    for best, first, joins, last in zip(*(columns[c].tolist() for c in ("_best", "_first", "_joins", "_last"))):
-        if first != first and not joined:  # the track rests in this bar
-            targets.append(None)
-            continue
-        if joined and previous + 1 <= last:
-            target = previous + 1
-        elif first != first:
-            target = previous
-        else:
-            target = max(best, previous)
-        if target == previous and joined:
-            target = min(previous + 1, last)
-        target = max(target, previous)
-        targets.append(int(target))
-        previous, joined = target, float(bool(joins))
-    return {"beat": targets}, [previous, joined]
-
-
 def assign_lyrics(syllables: DataFrame, beats: DataFrame, song: Sequence[str], order: str) -> DataFrame:
     """The played beat each syllable falls on: nearest in its bar, never going back, the rest of a word on the next.
 
@@ -70,9 +49,19 @@ def assign_lyrics(syllables: DataFrame, beats: DataFrame, song: Sequence[str], o
     near_low = high.isNull() | (F.abs(F.col("_pos") - low["_at"]) <= F.abs(high["_at"] - F.col("_pos")))
     best = F.when(near_low, low["_b"]).otherwise(high["_b"])
     found = back_to_points(line, s, _best=best.cast("double"))
-    found = found.withColumn("_first", F.col("_best")).join(ends, list(song))
-    walked = ordered(found, song, [order]).fold(_assign_step, "beat long", [-1.0, 0.0])
-    return walked.df.select(*song, order, "bar", F.col("_joins").alias("joins"), "beat")
+    found = found.join(ends, list(song)).withColumn("_sung", F.col("_best").isNotNull())
+    # A syllable of a resting bar is sung only while every one since the last bar with beats goes on with its word.
+    line = ordered(found, song, [order]).add(_group=running_sum(F.col("_sung").cast("int")))
+    line = line.refine(["_group"], [order]).add(_ended=running_sum((~F.col("_joins")).cast("int"), before=True))
+    sung = F.col("_sung") | ((F.col("_group") > 0) & (F.coalesce("_ended", F.lit(0)) == 0))
+    silent = line.df.where(~sung).select(*song, order, "bar", F.col("_joins").alias("joins"), F.lit(None).cast("long").alias("beat"))
+    # A word starts at its nearest beat or where the last one ended; each further syllable takes the next beat. So a
+    # syllable's beat is the greatest start so far, less the steps before that start, plus all steps up to here.
+    words = ordered(line.df.where(sung), song, [order], like=line).add(_goes_on=lag("_joins"))
+    words = words.with_columns(_step=F.coalesce("_goes_on", F.lit(False)).cast("int")).add(_steps=running_sum("_step"))
+    words = words.add(_start=running_max(F.when(F.col("_step") == 0, F.col("_best") - F.col("_steps"))))
+    beat = F.least(F.col("_last"), F.col("_start") + F.col("_steps")).cast("long")
+    return words.df.select(*song, order, "bar", F.col("_joins").alias("joins"), beat.alias("beat")).unionByName(silent)
 
 
 def syllable_track(syllables: DataFrame, keys: Sequence[str], order: Sequence[str], place: str, units: int) -> DataFrame:

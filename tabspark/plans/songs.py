@@ -233,7 +233,19 @@ def lyric_parts(spark, folder):
     return s, b
 
 
-@query("assign_lyrics")
+@query(
+    "assign_lyrics",
+    f"""with recursive s0 as (select l_orderkey, item, item // 3 as bar, (item % 3) / 3.0::double as place, units % 4 = 0 as joins from ({ITEMS_SQL}) where l_partkey % 2 = 0),
+    b as (select l_orderkey, item // 3 as bar, (item % 3) / 3.0::double as place, row_number() over (partition by l_orderkey order by item) - 1 as i, count(*) over (partition by l_orderkey) - 1 as last from ({ITEMS_SQL}) where l_suppkey % 3 > 0),
+    n as (select s0.l_orderkey, s0.item, min_by(i, (abs(b.place - s0.place), i)) as near from s0 join b on b.l_orderkey = s0.l_orderkey and b.bar = s0.bar group by 1, 2),
+    s as (select s0.*, near, (select any_value(last) from b where b.l_orderkey = s0.l_orderkey) as last, row_number() over (partition by l_orderkey order by item) as k from s0 left join n using (l_orderkey, item)),
+    w(l_orderkey, item, bar, joins, beat, k, prev, word) as (
+      select l_orderkey, -1::bigint, 0::bigint, false, null::bigint, 0::bigint, -1::bigint, false from s where k = 1 and last is not null
+      union all select s.l_orderkey, s.item, s.bar, s.joins, x.beat, s.k, coalesce(x.beat, w.prev), case when x.beat is null then w.word else s.joins end
+      from w join s on s.l_orderkey = w.l_orderkey and s.k = w.k + 1,
+      lateral (select case when s.near is null and not w.word then null when w.word then least(w.prev + 1, s.last) else greatest(s.near, w.prev) end as beat) x)
+    select l_orderkey, item, bar, joins, beat from w where k > 0""",
+)
 def assign_lyrics(spark, folder):
     s, b = lyric_parts(spark, folder)
     return Y.assign_lyrics(s, b, ORDER, "item")
