@@ -68,8 +68,8 @@ def list_catalog(catalog: DataFrame, saved_at: str, defaults: dict[str, Column])
 
 def import_preview(catalog: DataFrame, incoming: DataFrame, key: str, saved_at: str) -> DataFrame:
     """Incoming songs with the local song of the same key, if any."""
-    here = catalog.select(key, F.col(saved_at).alias("existing_saved_at"))
-    return incoming.join(here, key, "left").withColumn("exists", F.col("existing_saved_at").isNotNull())
+    here = catalog.select(key, F.col(saved_at).alias("existing_saved_at"), F.lit(True).alias("exists"))
+    return incoming.join(here, key, "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
 def import_songs(catalog: DataFrame, incoming: DataFrame, chosen: DataFrame, replace: DataFrame, key: str) -> DataFrame:

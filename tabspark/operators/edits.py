@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import Ordered, fill, lag, ordered, running_sum, total_sum
-from .rhythm import split_units
+from ..functions.ordered import Ordered, fill, lag, number, ordered, running_sum, total_sum
 
 MAX_EDITS, MAX_FRET = 500, 30  # fixed values: edits of a request, frets of a neck, and the bounds of the places
 BOUNDS = {"track": (0, 63), "bar": (0, 9999), "voice": (0, 1), "beat": (0, 999), "string": (1, 12), "expected": (0, 99)}
@@ -32,9 +31,10 @@ def tied_chains(notes: DataFrame, keys: Sequence[str], beat: str, tie: str, like
 
 
 def repair_ties(notes: DataFrame, keys: Sequence[str], beat: str, tie: str, fret: str) -> DataFrame:
-    """A tied note takes the fret of the last note struck on its string."""
-    line = ordered(notes, keys, [beat]).add(_f=fill(F.when(~F.col(tie), F.col(fret))))
-    return line.df.withColumn("fret_repaired", F.when(F.col(tie), F.coalesce("_f", F.col(fret))).otherwise(F.col(fret))).drop("_f")
+    """A tied note takes the fret of the last note struck on its string; a tied one with nothing before it counts as struck."""
+    line = ordered(notes, keys, [beat]).add(_i=number())
+    line = line.add(_f=fill(F.when(~F.col(tie) | (F.col("_i") == 1), F.struct(F.col(fret).alias("f")))))
+    return line.df.withColumn("fret_repaired", F.col("_f")["f"]).drop("_f", "_i")
 
 
 def apply_note_edits(
@@ -75,6 +75,13 @@ def apply_note_edits(
     return after, requests
 
 
+def filling_rests(units: Column) -> Column:
+    """Lengths of the rests that fill so many 32nds: plain values only, the longest first."""
+    whole = F.array_repeat(F.lit(32), F.floor(units / 32).cast("int"))
+    rest = (units % 32).cast("int")
+    return F.concat(whole, F.filter(F.array(*[F.lit(v) for v in (16, 8, 4, 2, 1)]), lambda v: rest.bitwiseAND(v) > 0))
+
+
 def apply_length_edits(
     beats: DataFrame, edits: DataFrame, bar_keys: Sequence[str], beat: str, units: str, rest: str, capacity: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +107,7 @@ def apply_length_edits(
     results = judged.select(*bar_keys, applied.alias("applied"), missing.alias("missing_units"))
     good = judged.where(applied)
     kept = both.where(stays).join(good.select(*bar_keys), list(bar_keys), "left_semi").select(*bar_keys, beat, size.alias(units), rest)
-    added = good.select(*bar_keys, "_last", F.posexplode(split_units(F.col("_room"))).alias("_k", units))
+    added = good.select(*bar_keys, "_last", F.posexplode(filling_rests(F.col("_room"))).alias("_k", units))
     added = added.select(*bar_keys, (F.col("_last") + 1 + F.col("_k")).alias(beat), F.col(units), F.lit(True).alias(rest))
     same = beats.select(*bar_keys, beat, units, rest).join(good.select(*bar_keys), list(bar_keys), "left_anti")
     return same.unionByName(kept).unionByName(added), results

@@ -280,6 +280,7 @@ def tab_blocks(lines: DataFrame, keys: Sequence[str], line_no: str, line: str) -
     )
 
 
+# The ways a line says how often it is played.
 REPEAT_X = r"(?i)^\(?\s*[x×]\s*([0-9]{1,2})\s*\)?$"
 REPEAT_N = r"(?i)^\(?\s*([0-9]{1,2})\s*[x×]\s*\)?$"
 REPEAT_WORD = r"(?i)^\(?\s*(?:play\s+)?([0-9]{1,2})\s*(?:times|vezes)\s*\)?$"

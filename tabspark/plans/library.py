@@ -219,7 +219,7 @@ def match_candidates(spark, folder):
 
 @query(
     "search",
-    f"""select doc_id from documents where contains(translate(lower(text), '{M.ACCENTED}', '{M.PLAIN}'), 'ouque') and contains(translate(lower(text), '{M.ACCENTED}', '{M.PLAIN}'), 'elle')""",
+    f"""select doc_id from documents where contains(strip_accents(lower(text)), 'ouque') and contains(strip_accents(lower(text)), 'elle')""",
 )
 def search(spark, folder):
     return M.search(table(spark, folder, "documents"), F.col("text"), " Ouqué  ELLE", by_word=True).select("doc_id")
@@ -470,7 +470,8 @@ def tied_chains(spark, folder):
 
 @query(
     "repair_ties",
-    f"""with n as (select {EDIT_NOTES} from ({ITEMS_SQL})) select l_orderkey, string, beat, case when tie then coalesce(last_value(case when not tie then fret end ignore nulls) over (partition by l_orderkey, string order by beat), fret) else fret end as fret_repaired from n""",
+    f"""with n as (select {EDIT_NOTES} from ({ITEMS_SQL})) select l_orderkey, string, beat, first_value(fret) over (partition by l_orderkey, string, origin order by beat) as fret_repaired
+    from (select *, count(*) filter (not tie) over (partition by l_orderkey, string order by beat) as origin from n)""",
 )
 def repair_ties(spark, folder):
     n = items(spark, folder).selectExpr("l_orderkey", "cast(l_suppkey % 2 as int) as string", "item as beat", "units % 3 = 0 as tie", "l_partkey % 7 as fret")
@@ -515,14 +516,16 @@ def length_edits(spark, folder):
 @query(
     "length_edited_beats",
     f"""with {LENGTH_SQL}, s as (select *, sum(case when rest then 0 else 1 end) over (partition by l_orderkey, bar) as p, sum(case when rest then 0 else 1 end) over (partition by l_orderkey, bar order by beat) as sn from b0),
-    t as (select *, rest and sn = p and beat > 0 as trail, case when beat = 0 then 10 else units end as nu from s), j as (select l_orderkey, bar, sum(case when trail then 0 else nu end) as total from t group by 1, 2)
-    select t.l_orderkey, t.bar, sum(case when total > 32 then units else 0 end) + case when any_value(total) <= 32 then 32 else 0 end as total from t join j on j.l_orderkey = t.l_orderkey and j.bar = t.bar group by 1, 2""",
+    t as (select *, rest and sn = p and beat > 0 as trail, case when beat = 0 then 10 else units end as nu from s),
+    j as (select l_orderkey, bar, sum(case when trail then 0 else nu end) as total, list(nu order by beat) filter (not trail) as kept, list(units order by beat) as same from t group by 1, 2)
+    select l_orderkey, bar, array_to_string(case when total > 32 then same else kept || list_filter([16, 8, 4, 2, 1], lambda v: (cast(32 - total as int) & v) > 0) end, ' ') as beats from j""",
 )
 def length_edited_beats(spark, folder):
     b = items(spark, folder).selectExpr("l_orderkey", "item div 5 as bar", "item % 5 as beat", "4 + 2 * (units % 3) as units", "l_partkey % 3 = 0 as rest")
     e = b.where("beat = 0").selectExpr("l_orderkey", "bar", "beat", "units as expected", "10 as new_units")
     after, _ = E.apply_length_edits(b, e, ["l_orderkey", "bar"], "beat", "units", "rest", 32)
-    return after.groupBy("l_orderkey", "bar").agg(F.sum("units").alias("total"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("beat", "units"))), lambda x: x["units"].cast("string")), " ")
+    return after.groupBy("l_orderkey", "bar").agg(line.alias("beats"))
 
 
 # --- Sources and sinks ---
@@ -646,7 +649,7 @@ def nested_report(spark, folder):
 
 
 PREVIEW_SQL = f"""n as (select l_orderkey, item // 4 as bar, item % 4 as beat, 1 + cast(l_suppkey % 3 as int) as string, case when l_partkey % 9 = 0 then 'x' when l_partkey % 8 = 0 then '<' || (l_partkey % 25) || '>' when l_partkey % 7 = 0 then '(' || (l_partkey % 25) || ')' else '' || (l_partkey % 25) end
-    || case when l_partkey % 9 = 0 then '' else case when l_partkey % 5 = 0 then 'b' else '' end || case when l_partkey % 4 = 0 then '~' else '' end end as cell, units % 6 = 0 as rest, l_orderkey % 3 = 0 as opens, case when l_orderkey % 2 = 0 then 3 else 0 end as closes from ({ITEMS_SQL}) where item < 128),
+    || case when l_partkey % 9 = 0 then '' else case when l_partkey % 5 = 0 then 'b' else '' end || case when l_partkey % 4 = 0 then '~' else '' end end as cell, units % 6 = 0 as rest, l_orderkey % 3 = 0 as opens, case when l_orderkey % 2 = 0 then 3 else 0 end as closes from ({ITEMS_SQL})),
   w as (select *, case when rest then 'q' else 'Q' end as mark, cast(greatest(3, case when rest then 0 else length(cell) end + 1) as int) as w, max(beat) over (partition by l_orderkey, bar) as lb from n),
   r as (select w.*, s from w, (select unnest(range(4)) as s))"""
 
@@ -669,7 +672,7 @@ def render_preview(spark, folder):
 
 @query(
     "export_catalog",
-    f"""with {CAT_SQL}, ch as (select o_orderkey as ord, o_custkey as c_custkey from orders where o_orderkey % 9 = 0 order by o_orderkey limit 1000), f as (select c_custkey, min(ord) as ord from ch group by 1)
+    f"""with {CAT_SQL}, ch as (select o_orderkey as ord, o_custkey as c_custkey from orders where o_orderkey % 9 = 0), f as (select c_custkey, min(ord) as ord from ch group by 1)
     select cat.c_custkey, ord, 'c.jpg' as files from cat join f using (c_custkey)""",
 )
 def export_catalog(spark, folder):

@@ -70,6 +70,7 @@ def read_records(df: DataFrame, json: str, schema: str, key: str) -> DataFrame:
     return df.withColumn("_r", F.from_json(json, schema)).where(F.col("_r")[key].isNotNull()).select("*", "_r.*").drop("_r")
 
 
+# Fixed value: heading of a release in the notes.
 RELEASE = r"^## \[([0-9]+\.[0-9]+\.[0-9]+)\](?:\s*-\s*([0-9]{4}-[0-9]{2}-[0-9]{2}))?\s*$"
 
 

@@ -18,7 +18,7 @@ def nested_report(songs: DataFrame, tracks: DataFrame, song: Sequence[str], trac
 
 
 MARKS = {48: "W.", 32: "W", 24: "H.", 16: "H", 12: "Q.", 8: "Q", 6: "E.", 4: "E", 3: "S.", 2: "S", 1: "T"}  # fixed values
-PREVIEW_BARS, BARS_A_LINE = 32, 4
+BARS_A_LINE = 4
 
 
 def note_cell(fret: Column, dead: Column, tie: Column, harmonic: Column, bend: Column, vibrato: Column) -> Column:
@@ -28,19 +28,20 @@ def note_cell(fret: Column, dead: Column, tie: Column, harmonic: Column, bend: C
     return F.when(dead, F.lit("x")).otherwise(F.concat(text, tail))
 
 
-def render_preview(beats: DataFrame, notes: DataFrame, song: Sequence[str], strings: int) -> DataFrame:
-    """Text lines of the first 32 bars, four a line: one row per string (string 0 holds the length letters).
+def render_preview(beats: DataFrame, notes: DataFrame, song: Sequence[str], strings: int, bars: int | None = None) -> DataFrame:
+    """Text lines of all bars, or the first ``bars``, four a line: one row per string (string 0 holds the length letters).
 
     Beats ``bar, beat, units, is_rest, opens, closes`` (repeat signs of their bar, ``closes`` the times or 0); notes
     ``bar, beat, string, cell``. Columns line up: as wide as the beat's widest cell, at least three.
     """
     song = list(song)
-    beats = beats.where(F.col("bar") < PREVIEW_BARS)
+    if bars is not None:
+        beats, notes = beats.where(F.col("bar") < bars), notes.where(F.col("bar") < bars)
     ends = beats.groupBy(*song, "bar").agg(F.min("beat").alias("_first"), F.max("beat").alias("_last"))
     letters = F.create_map(*[F.lit(v) for item in MARKS.items() for v in item])
     mark = F.try_element_at(letters, F.col("units").cast("int"))
     mark = F.when(F.col("is_rest"), F.lower(mark)).otherwise(mark)
-    cells = notes.where(F.col("bar") < PREVIEW_BARS).groupBy(*song, "bar", "beat").agg(
+    cells = notes.groupBy(*song, "bar", "beat").agg(
         F.max(F.length("cell")).alias("_wide"), F.map_from_entries(F.collect_list(F.struct(F.col("string").cast("int"), "cell"))).alias("_cells")
     )
     data = beats.join(ends, [*song, "bar"]).join(cells, [*song, "bar", "beat"], "left").withColumn("_mark", mark)
@@ -65,9 +66,10 @@ def render_preview(beats: DataFrame, notes: DataFrame, song: Sequence[str], stri
     return pieces.groupBy(*song, "line", "string").agg(text.alias("text"))
 
 
-def export_catalog(catalog: DataFrame, chosen: DataFrame, key: str, order: str, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(songs without their audio, manifest of order and key): the first ``limit`` chosen ids, unknown and repeated ones skipped."""
-    first = chosen.orderBy(order).limit(limit).groupBy(key).agg(F.min(order).alias(order))
+def export_catalog(catalog: DataFrame, chosen: DataFrame, key: str, order: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(songs without their audio, manifest of order and key): all chosen ids or the first ``limit``, unknown and repeated ones skipped."""
+    taken = chosen if limit is None else chosen.orderBy(order).limit(limit)
+    first = taken.groupBy(key).agg(F.min(order).alias(order))
     songs = catalog.join(first, key).withColumn("files", F.map_filter("files", lambda k, v: k != "audio"))
     return songs, songs.select(order, key)
 
