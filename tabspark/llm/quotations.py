@@ -49,10 +49,10 @@ def own_text(text: Column) -> Column:
             before_quote = F.coalesce(F.get(lines, i + 1)["level"] > 0, F.lit(False))
             return F.when((line["level"] == 0) & ~(before_quote & line["x"].rlike(ANNOUNCES)), line["x"])
 
-        return F.array_join(F.filter(F.transform(lines, own), lambda x: x.isNotNull()), "\n")
+        bare = F.array_join(F.filter(F.transform(lines, own), lambda x: x.isNotNull()), "\n")
+        return F.when(F.exists(lines, lambda x: x["level"] > 0), F.regexp_replace(bare, r"^[ \t\n]+|[ \t\n]+$", "")).otherwise(text)
 
-    bare = F.transform(F.array(lines), kept)[0]
-    return F.when(text.rlike("(?m)" + MARK), F.regexp_replace(bare, r"^[ \t\n]+|[ \t\n]+$", "")).otherwise(text)
+    return F.transform(F.array(lines), kept)[0]
 
 
 def _sayings(messages: DataFrame) -> DataFrame:
@@ -138,6 +138,31 @@ def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     )
 
 
-@query("op10_quotation_linking")
+def _norm(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+OP10_SQL = f"""with recursive m as (select row_number() over () as r, conv_id, turn, role, coalesce(text, '') as text from conversations),
+  l as (select r, unnest(range(len(ls))) as p, unnest(ls) as x from (select r, regexp_split_to_array(text, '\\r\\n|\\r|\\n') as ls from m)),
+  k as (select *, length(regexp_replace(regexp_extract(x, '{MARK}'), '[^>]', '', 'g')) as level, regexp_replace(x, '{MARK}', '') as body from l),
+  n as (select *, coalesce(lead(level) over w, 0) as after, case when level = lag(level) over w then 0 else 1 end as new from k window w as (partition by r order by p)),
+  o as (select m.*, case when bool_or(level > 0) then regexp_replace(coalesce(string_agg(x, chr(10) order by p) filter (level = 0 and not (after > 0 and regexp_matches(x, '{ANNOUNCES}'))), ''), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g')
+    else any_value(text) end as own from m join n using (r) group by m.r, conv_id, turn, role, text),
+  y as (select conv_id, saying, min(turn) as said from (select conv_id, turn, {_norm("unnest([own] || regexp_split_to_array(own, '\\n[ \\t]*\\n') || string_split(own, chr(10)))")} as saying from o where turn is not null)
+    where saying <> '' group by 1, 2),
+  u as (select *, sum(new) over (partition by r order by p) as run from n),
+  q as (select r, run, level, [{_norm("string_agg(" + _norm("body") + ", ' ' order by p)")}] || list({_norm("body")}) as says from u where level > 0 group by 1, 2, 3),
+  d as (select r, run, level, unnest(list_distinct(says)) as saying from q),
+  v as (select o.r, level, said, sum(len(string_split(d.saying, ' '))) as words from d join o on o.r = d.r join y on y.conv_id is not distinct from o.conv_id and y.saying = d.saying
+    where d.saying <> '' and said < o.turn group by 1, 2, 3),
+  a as (select r, arg_max(said, (-level, words, said)) as reply_to from v group by 1),
+  z as (select conv_id, turn, min(reply_to) as up from a join m using (r) group by 1, 2),
+  t(r, conv_id, root) as (select r, conv_id, reply_to from a join m using (r) union all select t.r, t.conv_id, z.up from t join z on z.conv_id is not distinct from t.conv_id and z.turn = t.root),
+  h as (select r, min(root) as root from t group by 1)
+select conv_id, row_number() over (partition by conv_id order by coalesce(root, turn) nulls first, turn nulls first) - 1 as position, turn, role, own as text, reply_to,
+  coalesce(root, turn) as thread, '<|' || coalesce(role, '') || '|>' || chr(10) || own || chr(10) as formatted from o left join a using (r) left join h using (r)"""
+
+
+@query("op10_quotation_linking", OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return conversations(table(spark, folder, "conversations"))
