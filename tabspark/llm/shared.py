@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -46,6 +47,9 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
+    # Spark drops shuffle files once the driver has collected their plans as garbage; a long job should not wait for that.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
