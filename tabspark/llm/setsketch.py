@@ -29,7 +29,7 @@ from .shared import bitmap, components, in_bitmap, query, salted_join, stored, t
 #: Base of the logarithmic scale, rate of the exponential variables and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BAND = 5
-HUBS, HUB_CLASSES = (4, 64), 1 << 14
+HUBS, HUB_CLASSES = (16, 64), 1 << 14
 MEMO = 1 << 20
 BITS = 24
 
