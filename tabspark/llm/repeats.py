@@ -86,15 +86,19 @@ def anchors(hashes: Hashes, n: int, length: int) -> np.ndarray:
     return (np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows]) & _U((1 << 24) - 1)).astype(np.int64)
 
 
-def nodes_of(raw: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(sample, block, first and last own offset, core, union, ends inside?) of the top blocks, a chunk at a time."""
-    size, top = SIZES[0], length - GRAM
-    for begin in range(0, max(0, len(raw) - length + 1), CHUNK):
+def nodes_of(raw: bytes, length: int, chunk: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(sample, block, first and last own offset, core, union, ends inside?) of the top blocks, a chunk at a time.
+
+    A block belongs to the chunk in which its first window starts, so that no block is given twice.
+    """
+    size, top, chunk = SIZES[0], length - GRAM, chunk or CHUNK
+    for begin in range(0, max(0, len(raw) - length + 1), chunk):
         left = max(0, begin - length)
-        part = raw[left : begin + CHUNK + 2 * length]
+        part = raw[left : begin + chunk + size + 2 * length]
         hashes = Hashes(part)
         at = anchors(hashes, len(part), length)
-        first = np.arange(begin - left, min(len(at), begin - left + CHUNK))
+        # The window before tells whether the first block is new; a block has at most ``size`` windows, which follow each other.
+        first = np.arange(max(0, begin - 1) - left, min(len(at), begin - left + chunk + size))
         at = at[first]
         offset = at - first
         block = offset // size
@@ -102,6 +106,8 @@ def nodes_of(raw: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         new[1:] = (at[1:] != at[:-1]) | (block[1:] != block[:-1])
         k = np.flatnonzero(new)
         last = np.append(k[1:], len(at)) - 1
+        here = (first[k] >= begin - left) & (first[k] < begin - left + chunk)
+        k, last = k[here], last[here]
         a, q = at[k], block[k]
         lo, hi = offset[last], offset[k]
         d0, d1 = q * size, np.minimum(q * size + size - 1, top)
@@ -118,7 +124,7 @@ def _identity(uid: np.ndarray, a: np.ndarray, q: np.ndarray) -> np.ndarray:
 NODE = "node long, uid long, a long, d0 int, lo int, hi int, core long, union long"
 
 
-def _scan(docs: DataFrame, length: int, made, schema: str) -> DataFrame:
+def _scan(docs: DataFrame, length: int, made, schema: str, chunk: int | None = None) -> DataFrame:
     """One pass over all texts; ``made(uid, bytes, nodes)`` gives arrays by column, for each chunk of each text."""
     columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -127,7 +133,7 @@ def _scan(docs: DataFrame, length: int, made, schema: str) -> DataFrame:
             out, size = [], 0
             for uid, t in zip(pdf["uid"], pdf["text"]):
                 raw = (t or "").encode()
-                for nodes in nodes_of(raw, length):
+                for nodes in nodes_of(raw, length, chunk):
                     out.append(made(uid, raw, nodes))
                     size += len(out[-1][0])
                     if size > 1 << 18:
@@ -190,14 +196,14 @@ def _opened(slices: DataFrame, length: int, size: int, whole: int) -> DataFrame:
     return slices.mapInPandas(run, NODE + ", need boolean")
 
 
-def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int, chunk: int | None = None) -> DataFrame:
     """(uid, lo, hi): runs of first bytes of windows that occur more than once; ``docs`` has uid and text."""
     spark = docs.sparkSession
 
     def cores(uid, raw, nodes):
         return (nodes[4].view(np.int64),)
 
-    counted = _scan(docs, length, cores, "core long").groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    counted = _scan(docs, length, cores, "core long", chunk).groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
     known = spark.sparkContext.broadcast(bitmap(counted, "core", BITS))
 
     def repeated(uid, raw, nodes):
@@ -207,7 +213,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         ids = [own.view(np.int64), np.full(len(a), uid), a, (q * SIZES[0]).astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)]
         return (*ids, core.view(np.int64), np.where(inside, union, own).view(np.int64))
 
-    nodes = stored(_scan(docs, length, repeated, NODE).withColumn("need", F.lit(True)))
+    nodes = stored(_scan(docs, length, repeated, NODE, chunk).withColumn("need", F.lit(True)))
     matched, reps = _level(nodes)
     span = lambda m: m.select("uid", (F.col("a") - F.col("hi")).alias("lo"), (F.col("a") - F.col("lo")).alias("hi"))
     found = [stored(span(matched))]
@@ -223,7 +229,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         cut[:] = [raw[b:e] for b, e in zip(begin, a[k] - d0 + length)]
         return own[k].view(np.int64), begin, cut
 
-    cuts = _scan(docs, length, texts, "node long, begin long, slice binary")
+    cuts = _scan(docs, length, texts, "node long, begin long, slice binary", chunk)
     slices = stored(reps.join(cuts, "node"))
     for whole, size in zip(SIZES, SIZES[1:]):
         nodes = stored(_opened(slices, length, size, whole))
@@ -241,10 +247,10 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def without_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", chunk: int | None = None) -> DataFrame:
     """(doc_id, kept bytes and counts) of every row: see RESULT, with the bytes that stay in ``kept``."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    spans = repeated_windows(rows, length).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text
+    spans = repeated_windows(rows, length, chunk).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text
     both = rows.join(spans, "uid", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

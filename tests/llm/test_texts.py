@@ -162,6 +162,20 @@ def test_repeats_over_chunks_and_without_rows(spark, texts, monkeypatch):
     assert repeats.without_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeats_of_texts_of_several_chunks(spark, texts):
+    """A block that a chunk's end cuts is one block, not two that repeat each other."""
+    rnd = random.Random(12)
+    once = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(9000))
+    raw = once.encode()
+    for chunk in (1, 63, 700, 1024):
+        whole, cut = ([tuple(x) for n in repeats.nodes_of(raw, 200, c) for x in zip(*n[:4])] for c in (1 << 20, chunk))
+        assert cut == whole and len(set(cut)) == len(cut)
+    rows = [(1, once), (2, "".join(rnd.choice("abcdef") for _ in range(3000))), (3, f"{once[4000:4500]} and more"), *texts]
+    df = repeats.without_repeats(frame(spark, rows, DOCS), chunk=700)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in df.collect())
+    assert got == Counter(brute_repeats(rows, 200))
+
+
 # --- greedy string tiling
 
 
