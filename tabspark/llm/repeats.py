@@ -13,7 +13,7 @@ and several unions are opened: one representative of each union goes on with sma
 Names are 64-bit hashes of offset and text, so all comparisons are groupings of rows; groups are counted with partial
 aggregation, and nothing is ever paired.
 
-Null texts are empty. Texts shorter than ``length`` keep all bytes. Rows are told apart by their place in the input, so
+Null texts are empty. Texts shorter than ``length`` keep all bytes. Rows are told apart by a number stored with them, so
 repeated rows and ids, null ids included, count as different documents. Other columns are not read.
 """
 
@@ -249,7 +249,9 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def without_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", chunk: int | None = None) -> DataFrame:
     """(doc_id, kept bytes and counts) of every row: see RESULT, with the bytes that stay in ``kept``."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("uid", F.monotonically_increasing_id())
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Numbered once: read again, the input may be split into other partitions, and rows would get other numbers.
+    rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()))
     spans = repeated_windows(rows, length, chunk).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text
     both = rows.join(spans, "uid", "left").select("doc_id", "text", "spans")
 

@@ -176,6 +176,25 @@ def test_repeats_of_texts_of_several_chunks(spark, texts):
     assert got == Counter(brute_repeats(rows, 200))
 
 
+def test_repeats_when_the_input_is_split_otherwise_in_every_pass(spark, texts, tmp_path, monkeypatch):
+    path, setting, taken = f"file://{tmp_path}/documents", "spark.sql.files.minPartitionNum", repeats.bitmap
+    spark.createDataFrame(texts, DOCS).repartition(6, "doc_id").write.parquet(path)
+
+    def bitmap(*args):
+        out = taken(*args)
+        spark.conf.set(setting, "1" if spark.conf.get(setting) == "64" else "64")
+        return out
+
+    monkeypatch.setattr(repeats, "bitmap", bitmap)
+    spark.conf.set(setting, "64")
+    try:
+        out = repeats.without_repeats(spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.unset(setting)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out)
+    assert got == Counter(brute_repeats(texts, 200))
+
+
 # --- greedy string tiling
 
 
