@@ -2,8 +2,10 @@
 
 Lines of a message carry a quote level: the number of ``>`` before them. Runs of lines of one level are quoted passages;
 a line that only announces a quotation ("... wrote:") goes with it. Passages, paragraphs, lines and whole messages are
-normalised (lower case, single blanks) and hashed; a quoted passage, or else its lines, is joined to the earliest
-message of the same conversation that says it in its own words, if that message is earlier. A message replies to what it
+normalised (lower case, single blanks) and hashed; a quoted passage, or else its paragraphs (parted by empty quoted
+lines) and lines, is joined to the earliest message of the same conversation that says it in its own words, if that
+message is earlier. A quoted word counts as part of its paragraph where that has more words than its lines found.
+The SQL has no keys for quoted paragraphs: the two differ where a part of a message is quoted with lines wrapped anew. A message replies to what it
 quotes at its lowest level; of several such messages to the one with most quoted words, then the latest. Replies follow
 their thread's first message: the order inside a conversation is by first message of the thread, then by turn, so a
 message never stands before the one it replies to. Messages without a linked quotation begin threads of their own.
@@ -58,31 +60,50 @@ def own_text(text: Column) -> Column:
 def _sayings(messages: DataFrame) -> DataFrame:
     """(key, said): the earliest turn at which a conversation says a message, paragraph or line in its own words."""
     whole = F.array(F.col("own"))
-    said = F.concat(whole, F.split("own", r"\n[ \t]*\n", -1), F.split("own", r"\n", -1))
+    said = F.concat(whole, F.split("own", r"(?>\r\n|\r|\n)[ \t]*(?>\r\n|\r|\n)", -1), F.split("own", r"\n", -1))
     rows = messages.where("turn is not null").select("c0", "conv", "turn", F.explode(F.array_distinct(F.transform(said, normalised))).alias("saying"))
     key = F.concat_ws(":", F.xxhash64("c0", "conv", "saying"), F.xxhash64(F.lit(9), "c0", "conv", "saying"))
     return rows.where("saying <> ''").groupBy(key.alias("key")).agg(F.min("turn").alias("said"))
 
 
+WHOLE, LINE, PARAGRAPH = 0, 1, 2
+
+
 def _quoted(messages: DataFrame) -> DataFrame:
-    """(message, level, key, words): the quoted passages of messages, and the lines of passages of several lines."""
+    """(message, level, run, part, kind, key, words): the quoted passages of messages, their paragraphs and their lines."""
     lines = messages.where(F.col("text").rlike("(?m)" + MARK)).select(*ID, "turn", F.posexplode(_lines(F.col("text"))).alias("p", "x"))
     lines = lines.withColumn("level", _level(F.col("x"))).withColumn("said", normalised(F.regexp_replace("x", MARK, "")))
     order = Window.partitionBy(*ID, "turn").orderBy("p")
     lines = lines.withColumn("new", F.when(F.col("level") == F.lag("level").over(order), 0).otherwise(1))
     lines = lines.withColumn("run", F.sum("new").over(order)).where("level > 0")
     runs = lines.groupBy(*ID, "turn", "run", "level").agg(F.array_sort(F.collect_list(F.struct("p", "said"))).alias("of"))
-    whole = normalised(F.array_join(F.col("of.said"), " "))
-    sayings = F.array_distinct(F.concat(F.array(whole), F.col("of.said")))
-    said = runs.select(*ID, "turn", "level", F.explode(sayings).alias("saying")).where("saying <> ''")
+
+    def saying(kind: int, part: Column, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), part.alias("part"), said.alias("saying"))
+
+    def paragraph(of: Column, i: Column) -> Column:
+        lines = F.transform(F.split(of, "\n", -1), lambda x: saying(LINE, i, x))
+        return F.concat(F.array(saying(PARAGRAPH, i, normalised(of))), lines)
+
+    paragraphs = F.split(F.array_join(F.col("of.said"), "\n"), "\n\n+", -1)
+    whole = saying(WHOLE, F.lit(0), normalised(F.array_join(F.col("of.said"), " ")))
+    sayings = F.concat(F.array(whole), F.flatten(F.transform(paragraphs, paragraph)))
+    said = runs.select(*ID, "turn", "level", "run", F.inline(sayings)).where("saying <> ''")
+    said = said.groupBy(*ID, "turn", "level", "run", "saying").agg(F.min(F.struct("kind", "part")).alias("of"))
     key = F.concat_ws(":", F.xxhash64("c0", "conv", "saying"), F.xxhash64(F.lit(9), "c0", "conv", "saying"))
-    return said.select(*ID, "turn", "level", key.alias("key"), F.size(F.split("saying", " ")).alias("words"))
+    return said.select(*ID, "turn", "level", "run", "of.part", "of.kind", key.alias("key"), F.size(F.split("saying", " ")).alias("words"))
 
 
 def _replies(messages: DataFrame) -> DataFrame:
     """(c0, conv, t, turn, reply_to) of the messages with a linked quotation; t tells rows of the same turn apart."""
     linked = salted_join(stored(_quoted(messages)), _sayings(messages), "key").where("said < turn")
-    votes = linked.groupBy(*ID, "turn", "level", "said").agg(F.sum("words").alias("words"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("words"))), F.lit(0))
+    by = [*ID, "turn", "level", "said"]
+    parts = linked.groupBy(*by, "run", "part").agg(of(WHOLE).alias("whole"), of(LINE).alias("lines"), of(PARAGRAPH).alias("paragraph"))
+    runs = parts.groupBy(*by, "run").agg(
+        F.sum("whole").alias("whole"), F.sum("lines").alias("lines"), F.sum(F.greatest("lines", "paragraph")).alias("parts")
+    )
+    votes = runs.groupBy(*by).agg(F.sum(F.when(F.col("whole") > 0, F.col("whole") + F.col("lines")).otherwise(F.col("parts"))).alias("words"))
     best = F.max(F.struct((-F.col("level")).alias("level"), "words", "said"))
     return stored(votes.groupBy(*ID, "turn").agg(best.alias("best")).select(*ID, "turn", F.col("best.said").alias("reply_to")))
 

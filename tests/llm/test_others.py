@@ -277,6 +277,24 @@ def test_long_threads_and_hot_messages(spark):
     assert quotations.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_partial_quotations_wrapped_anew(spark):
+    """Two of three paragraphs, with other line ends than the original's; of two messages the one with most quoted words."""
+    first, second, third = "We could meet\non Monday at\nnoon.", "Bring the charts\nand the old\ntapes.", "Greetings\nfrom Ann"
+    rows = [
+        (1, 0, "u", f"{first}\n\n{second}\n\n{third}"),
+        (1, 1, "u", "Another message"),
+        (1, 2, "u", "Ann wrote:\n> We could meet on\n> Monday at noon.\n>\n> Bring the charts and\n> the old tapes.\nYes."),
+        (2, 0, "u", f"{first}\n\n{second}\n\n{third}".replace("\n", "\r\n")),
+        (2, 1, "u", "> Bring the charts and\r\n> the old tapes.\r\n>\r\n> unknown\r\nYes."),
+        (3, 0, "u", "one two\nthree four\n\nfive six\nseven eight nine ten"),
+        (3, 1, "u", "a b c\nd e f\ng h i j k"),
+        (3, 2, "u", "> one two\n> three four\n>\n> five six\n> seven eight nine ten\nwell\n> a b c\n> d e f\n> g h i j k\nso"),
+    ]
+    out = quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"]) for r in out}
+    assert got == {(1, 0): (None, 0), (1, 1): (None, 1), (1, 2): (0, 0), (2, 0): (None, 0), (2, 1): (0, 0), (3, 0): (None, 0), (3, 1): (None, 1), (3, 2): (1, 1)}
+
+
 # --- pipeline
 
 
