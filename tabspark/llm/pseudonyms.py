@@ -6,9 +6,11 @@ in every document, different values keep different pseudonyms, and who holds the
 
     card numbers    Luhn-valid numbers become Luhn-valid numbers of the same length
     other numbers   13 to 19 digits become as many digits
-    phone numbers   the country code and the punctuation stay
+    phone numbers   the country code and the punctuation stay; of national numbers the first digit, but for 3-3-4 digits
     IPv4 addresses  all 2**32 addresses among themselves
-    dates           real days of 1800 to 2199 among themselves, in the format they were written in
+    IPv6 addresses  all 2**128 addresses among themselves, however they were shortened
+    dates           real days of 1800 to 2199 among themselves, in the format they were written in; of dates with slashes
+                    the month comes first, or else the day: such days (from the 13th on) among themselves
     SSN             numbers with valid area, group and serial among themselves
 
 Mail addresses and long hexadecimal secrets have no small format to be permuted in; they become keyed digests (an
@@ -32,13 +34,32 @@ MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{
 HEX = r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
+GROUP = r"[0-9a-fA-F]{1,4}"
+IP6 = (
+    rf"(?<![0-9A-Za-z])(?=(?:{GROUP})?:(?:{GROUP})?:)(?:(?:{GROUP}:){{7}}{GROUP}|(?<!:)::{GROUP}(?::{GROUP}){{0,6}}|(?:{GROUP}:){{7}}:"
+    + "".join(rf"|(?:{GROUP}:){{{n}}}(?::{GROUP}){{1,{7 - n}}}|(?:{GROUP}:){{{n}}}:" for n in range(6, 0, -1))
+    + r")(?![0-9A-Za-z]|:[0-9a-fA-F:]|\.\d)"
+)
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 NUMBER = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-PRIVATE = "|".join([MAIL, HEX, IP, DATE, SSN, PHONE, NUMBER])
+#: National phone numbers: 3-3-4 digits, perhaps behind a 1; 9 to 12 digits that start with 0; 9 digits as written in Spain.
+NATIONAL = (
+    "(?<!\\d)(?:"
+    + "|".join(rf"(?:1{x})?\d{{3}}{x}\d{{3}}{x}\d{{4}}" for x in ("-", " ", r"\."))
+    + r"|(?=0(?:[ ./-]{0,3}\d){8,11}(?!\d))0\d{1,4}(?:"
+    + "|".join(rf"(?:{x}\d{{2,8}}){{1,5}}" for x in ("-", " ", r"\."))
+    + r"| ?/ ?\d{2,8}(?:[ -]\d{2,8}){0,3})"
+    + "|"
+    + "|".join(rf"[6-9]\d{{2}}{x}\d{{3}}{x}\d{{3}}|[6-9]\d{{2}}(?:{x}\d{{2}}){{3}}|[89]\d{x}\d{{3}}(?:{x}\d{{2}}){{2}}" for x in ("-", " ", r"\."))
+    + ")(?!\\d)"
+)
+PRIVATE = "|".join([MAIL, HEX, IP, IP6, DATE, SSN, PHONE, NUMBER, NATIONAL])
 #: First day and number of days (400 years, 189 * 773) of the dates.
 FIRST_DAY, DAY_HALVES = "1800-01-01", (189, 773)
+#: Of them, those from the 13th of a month on (9 * 9833), which cannot be read with the month first.
+LATE_HALVES = (9, 9833)
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 
@@ -111,7 +132,7 @@ def _number(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     def made(d: Column) -> Column:
-        code = F.when(m.startswith("+1"), 1).when(m.startswith("+"), 2).otherwise(0)
+        code = F.when(m.startswith("+1"), 1).when(m.startswith("+"), 2).when(m.rlike(r"^(?:\(|\d{3}([ .-])\d{3}\1\d{4}$)"), 0).otherwise(1)
         return F.concat(d.substr(F.lit(1), code), permute_digits(d.substr(code + 1, F.length(d) - code), "phone", key))
 
     return _let(F.regexp_replace(m, "[^0-9]", ""), lambda d: _let(made(d), lambda x: _refilled(m, x)))
@@ -127,6 +148,60 @@ def _ip(m: Column, key: str) -> Column:
     return _let(feistel(left, right, size, size, "ip", key), lambda s: F.concat_ws(".", octet(s, "l", True), octet(s, "l", False), octet(s, "r", True), octet(s, "r", False)))
 
 
+def _ip6(m: Column, key: str) -> Column:
+    """Two halves of 64 bits, each mixed into the other; written as eight groups."""
+
+    def number(hexadecimal: Column) -> Column:
+        return F.conv(hexadecimal, 16, -10).cast("long")
+
+    def turn(s: Column, i: Column) -> Column:
+        l, r = s["l"], s["r"]
+        drawn = lambda value: number(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("ip6"), i.cast("string"), value.cast("string")), 256), 1, 16))
+        return F.struct(r.alias("l"), l.bitwiseXOR(drawn(r)).alias("r"))
+
+    def groups(part: Column) -> Column:
+        return F.filter(F.split(part, ":", -1), lambda g: g != "")
+
+    def made(ends: Column) -> Column:
+        left, right = groups(ends[0]), groups(F.coalesce(F.get(ends, F.lit(1)), F.lit("")))
+        filled = F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+        return F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
+
+    def moved(x: Column) -> Column:
+        start = F.struct(number(F.substring(x, 1, 16)).alias("l"), number(F.substring(x, 17, 16)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
+
+    def written(s: Column) -> Column:
+        x = F.lower(F.concat(F.lpad(F.hex(s["l"]), 16, "0"), F.lpad(F.hex(s["r"]), 16, "0")))
+        return _let(x, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(x.substr(4 * k + 1, F.lit(4)), "^0{1,3}", "")), ":"))
+
+    return _let(_let(_let(F.split(m, "::", -1), made), moved), written)
+
+
+def _late_date(m: Column, key: str) -> Column:
+    """A day from the 13th on, written with the day first; null if it is none or outside the years."""
+    a, b = (F.lit(x).cast("long") for x in LATE_HALVES)
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def before(month: Column) -> Column:
+        """Such days before a month, counted from the first one."""
+        return F.datediff(F.add_months(first, month.cast("int")), first).cast("long") - 12 * month
+
+    def day_of(k: Column) -> Column:
+        near = F.floor(k * 4800 / (a * b)).cast("long")
+        months = F.transform(F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)]), lambda i: near + i)
+        month = F.array_max(F.filter(months, lambda x: before(x) <= k))
+        return _let(month, lambda x: F.date_add(F.add_months(first, x.cast("int")), (12 + k - before(x)).cast("int")))
+
+    def moved(day: Column) -> Column:
+        month = (F.year(day) - 1800) * 12 + F.month(day) - 1
+        k = before(month.cast("long")) + F.dayofmonth(day) - 13
+        made = _let(_let(feistel(F.floor(k / b), k % b, a, b, "late date", key), lambda s: s["l"] * b + s["r"]), day_of)
+        return F.when((F.year(day) >= 1800) & (F.year(day) < 2200) & (F.dayofmonth(day) > 12), F.date_format(made, "dd/MM/yyyy"))
+
+    return _let(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).cast("date"), moved)
+
+
 def _date(m: Column, key: str) -> Column:
     a, b = (F.lit(x).cast("long") for x in DAY_HALVES)
     first = F.lit(FIRST_DAY).cast("date")
@@ -143,7 +218,7 @@ def _date(m: Column, key: str) -> Column:
     out = m
     for shape, form in shapes.items():
         out = F.when(m.rlike(shape), written(form)).otherwise(out)
-    return out
+    return F.when(m.rlike(r"^(?:1[3-9]|[23]\d)/"), F.coalesce(_late_date(m, key), m)).otherwise(out)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -168,9 +243,10 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         F.when(m.contains("@"), F.concat(F.lit("u"), F.substring(digest("mail", F.lower(m)), 1, 16), F.lit("@example.invalid")))
         .when(m.rlike("^[0-9a-fA-F]{32,}$"), secret)
         .when(m.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), _ip(m, key))
+        .when(m.contains(":"), _ip6(m, key))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(m, key))
         .when(m.rlike(r"^(?:\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), _date(m, key))
-        .when(m.rlike(r"^[+(]"), _phone(m, key))
+        .when(m.rlike(r"^[+(]") | (F.length(F.regexp_replace(m, "[^0-9]", "")) < 13), _phone(m, key))
         .otherwise(_number(m, key))
     )
 
@@ -178,7 +254,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = "n_private") -> DataFrame:
     """The rows with personal data in ``text`` replaced; ``count`` holds how many values were changed, if named."""
     t = F.col(f"`{text}`")
-    may = t.rlike(r"[0-9@]") | t.rlike(r"[0-9a-fA-F]{32}")
+    may = t.rlike(r"[0-9@]|::|(?:[a-fA-F]{1,4}:){7}") | t.rlike(r"[0-9a-fA-F]{32}")
     found = F.when(may, F.regexp_extract_all(t, F.lit(f"({PRIVATE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     cols = [c for c in docs.columns if c != count]
     parts = docs.select(*[F.col(f"`{c}`") for c in cols], F.struct(found.alias("old"), F.when(may, F.split(t, PRIVATE, -1)).alias("rest")).alias("_cut"))

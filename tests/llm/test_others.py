@@ -229,6 +229,32 @@ def test_pseudonyms_are_permutations(spark):
     assert len(secret) == 160 and secret != "ab12" * 40
 
 
+def test_pseudonyms_of_day_first_dates_national_phones_and_ipv6(spark):
+    same = [("2001:db8::1", "2001:0DB8:0:0:0:0:0:1"), ("743-555-3824", "(743) 555-3824")]
+    values = ["25/12/1990", "31/01/1800", "13/12/2199", "743-555-3824", "743 555 3824", "743.555.3824", "1-743-555-3824", "030 1234567", "0171/1234567"]
+    values += ["01 23 45 67 89", "612 345 678", "91 123 45 67", "2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "fe80::", "::1", "a:b:c:d:e:f:a:b", "1:2:3:4:5:6:7::", "(743) 555-3824"]
+    stay = ["31/02/2020", "25/13/1990", "std::vector x :: y", "12:34:56", "aa:bb:cc:dd:ee:ff", "3.1415926 and 1,234,567", "40 to 1200 x 300"]
+    rows = [(k, f"at={v}: or {v}.") for k, v in enumerate(values)] + [(100 + k, v) for k, v in enumerate(stay)]
+    out = {r["doc_id"]: (r["text"], r["n_private"]) for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, DOCS)).collect()}
+    new = {}
+    for k, v in enumerate(values):
+        text, n = out[k]
+        assert n == 2 and v not in text, (v, text)
+        new[v] = text.split(" or ")[1][:-1]
+        assert text == f"at={new[v]}: or {new[v]}."
+        if "::" in v or v.count(":") > 2:
+            assert ipaddress.ip_address(new[v]).version == 6
+        else:
+            assert re.sub(r"\d", "0", v) == re.sub(r"\d", "0", new[v])
+    assert all(out[100 + k] == (v, 0) for k, v in enumerate(stay))
+    assert new[same[0][0]] == new[same[0][1]] and re.sub(r"\D", "", new[same[1][0]]) == re.sub(r"\D", "", new[same[1][1]])
+    assert len({new[v] for v in values}) == len(values) - 1
+    days = [date(1800, 1, 1) + timedelta(k) for k in range(146097)]
+    late = [d.strftime("%d/%m/") + f"{d.year:04d}" for d in days if d.day > 12]
+    made = spark.createDataFrame([(d,) for d in late], "m string").select(pseudonyms.pseudonym(F.col("m")).alias("p")).collect()
+    assert len(late) == 9 * 9833 and {r["p"] for r in made} == set(late)
+
+
 # --- quotations
 
 
