@@ -353,6 +353,22 @@ def test_pipeline(spark, texts, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == now.count()
 
 
+def test_near_copies_without_ids_in_the_pipeline(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen, taken = [], corpus_pipeline.setsketch.near_documents
+    monkeypatch.setattr(corpus_pipeline.setsketch, "near_documents", lambda *a, **k: seen.append(k) or taken(*a, **k))
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(120)) for x in "abcd")
+    rows = [(7, a), (9, a), (None, a), (None, f"{a} end"), (None, b), (None, f"{b} end"), (None, b), (None, c), (3, d), (None, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    of_b = [k for k in kept if k in ((None, b), (None, f"{b} end"))]
+    assert len(of_b) == 1 and Counter(kept) == Counter([(7, a), *of_b, (None, c), (3, d), (None, ""), (4, None)])
+    assert (1 - 0.8**5) ** (seen[0]["registers"] // 5) < 4e-6
+
+
 def test_the_library_does_not_need_the_operators():
     import pathlib
 
