@@ -7,7 +7,9 @@ Seeds of the runs join the seeds of the items; a document and an item with enoug
 match of words not yet marked is marked again and again, on both sides, down to ``seed`` words. An item is found in a
 document if its tiles cover at least ``coverage`` of its words, in whatever order they stand.
 
-Null and empty texts hold nothing. Items with fewer than ``seed`` words, or null, are found nowhere. Items with equal
+An item with fewer than ``seed`` words is found where all its words follow each other, by one hash of them.
+
+Null and empty texts hold nothing. Items without words, or null, are found nowhere. Items with equal
 words count once, as the smallest item id. Rows that share an id (null too) are judged as one document. Repeated rows
 get the same verdict each. Only ids and texts are read, so other columns cannot clash.
 """
@@ -87,14 +89,14 @@ def tiles(item: np.ndarray, runs: list[np.ndarray], seed: int) -> list[tuple[int
     return out
 
 
-def items_of(benchmark: DataFrame, seed: int, key: str = "item_id", text: str = "text") -> DataFrame:
-    """Stored (item_id, n_words, words) of the distinct items that are long enough."""
+def items_of(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """Stored (item_id, n_words, words) of the distinct items that have words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [word_hashes(t) for t in pdf["text"]]
             made = pd.DataFrame({"item_id": pdf["item_id"], "n_words": [len(w) for w in found], "words": [w.tobytes() for w in found]})
-            yield made[made["n_words"] >= seed]
+            yield made[made["n_words"] > 0]
 
     rows = benchmark.select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null")
     words = rows.mapInPandas(run, "item_id long, n_words long, words binary")
@@ -135,11 +137,45 @@ def _runs(docs: DataFrame, words_of_items: np.ndarray, seed: int, key: str, text
     return rows.mapInPandas(run, "doc_id long, at long, words binary")
 
 
+def _sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every ``n`` words in a row, other than that of other numbers of words."""
+    return _mix(rolling(words, n) + np.uint64(n))
+
+
+def _short_matches(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
+    """As ``matches``, of items that are found only as a whole."""
+    lengths = sorted(r["n_words"] for r in items.select("n_words").distinct().collect())  # each below the seed
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [_sequences(np.frombuffer(w, np.uint64), n) for w, n in zip(pdf["words"], pdf["n_words"])]
+            pdf["h"] = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pdf[["h", "item_id", "n_words"]]
+
+    hashed = stored(items.mapInPandas(whole, "h long, item_id long, n_words long"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(hashed, "h", BITS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, t in zip(pdf["doc_id"], pdf["text"]):
+                words = word_hashes(t)
+                h = np.concatenate([_sequences(words, n) for n in lengths])
+                h = np.unique(h[in_bitmap(shared.value, BITS, h)])
+                if len(h):
+                    yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i)] * len(h), "Int64"), "h": h.view(np.int64)})
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    of_docs = stored(rows.mapInPandas(run, "doc_id long, h long").distinct())
+    both = salted_join(of_docs, hashed, "h")
+    return both.select("doc_id", "item_id", "n_words", F.col("n_words").alias("covered"), F.lit(1).cast("long").alias("n_tiles"))
+
+
 def matches(
     docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, n_words, covered, n_tiles) of every item found in a document."""
-    items = items_of(benchmark, seed)
+    every = items_of(benchmark)
+    short, items = every.where(F.col("n_words") < seed), every.where(F.col("n_words") >= seed)
     of_items = stored(_seeds(items, "item_id", seed, False).groupBy("h", "item_id").agg(F.count("*").alias("n")))
     runs = stored(_runs(docs, bitmap(of_items, "h", BITS), seed, key, text))
     of_docs = stored(_seeds(runs, "doc_id", seed, True).distinct())
@@ -172,7 +208,8 @@ def matches(
             made = pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "covered", "n_tiles"])
             yield made.astype({"doc_id": "Int64", "item_id": "int64", "n_words": "int64", "covered": "int64", "n_tiles": "int64"})
 
-    return rows.mapInPandas(tile, "doc_id long, item_id long, n_words long, covered long, n_tiles long")
+    found = rows.mapInPandas(tile, "doc_id long, item_id long, n_words long, covered long, n_tiles long")
+    return found if short.isEmpty() else found.unionByName(_short_matches(docs, short, key, text))
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED) -> DataFrame:

@@ -248,6 +248,16 @@ def test_contamination(spark, texts):
     assert clean.where("contaminated").count() == 0 and clean.count() == len(rows)
 
 
+def test_short_items_are_found_as_a_whole(spark):
+    items = [(1, "Too short, an ITEM"), (2, "Yes"), (3, "no way"), (4, "no way"), (5, "..."), (6, "one two three four five six")]
+    rows = [(1, "It is too short an item."), (2, "too short; an other item"), (3, "yesterday"), (4, "Oh YES! No way"), (5, None), (5, "way no"), (5, "no"), (None, "no-way")]
+    rows += [(6, "one two three four five six yes"), (7, "an item too short")]
+    df = tiling.verdicts(frame(spark, rows, DOCS), frame(spark, items, "item_id long, text string"))
+    got = Counter((r["doc_id"], r["n_items"], r["item_id"], r["coverage"]) for r in df.collect())
+    hits = {1: (1, 1, 1.0), 4: (2, 2, 1.0), None: (1, 3, 1.0), 6: (2, 2, 1.0)}
+    assert got == Counter((i, *hits.get(i, (0, None, 0.0))) for i, _ in rows)
+
+
 # --- toxicity
 
 
