@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, covertree, licenses, pseudonyms, quotations, repeats, setsketch, tiling, toxicity, warc  # noqa: F401
+from . import align, bpe, covertree, licenses, periods, pseudonyms, quotations, rans, repeats, setsketch, tiling, toxicity, warc  # noqa: F401
 from .shared import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
