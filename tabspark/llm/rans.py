@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe_path, vocabulary
-from .library_bpe import byte_codec, ids_of_texts
+from .library_bpe import byte_codec
 from .shared import light_batches, query, shared_folder, stored, table
 
 MAGIC = b"TIDS"
@@ -261,8 +261,8 @@ def _encoded(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> Da
             keys, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in light_batches(texts):
                 out, held = [], 0
-                for key_, hash_, ids in zip(keys[i:j], hashes[i:j], ids_of_texts(codec, texts[i:j])):
-                    ids, row = np.append(ids, end_id).astype("<u4"), row + 1
+                for key_, hash_, content in zip(keys[i:j], hashes[i:j], texts[i:j]):
+                    ids, row = np.append(codec.encode(content), end_id).astype("<u4"), row + 1
                     for piece, k in enumerate(range(0, len(ids), PIECE)):
                         out.append((key_, hash_, row, piece, len(ids) - k, ids[k : k + PIECE].tobytes()))
                         held += len(out[-1][-1])
