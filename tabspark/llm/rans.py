@@ -248,7 +248,7 @@ def segments_of(body: memoryview) -> Iterator[tuple]:
 # Spark jobs
 
 
-def _encoded(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, key: str, text: str, end_id: int, kind: str) -> DataFrame:
     """(doc_id, hash of the text, row, piece, ids from this piece on, ids): each row's ids in pieces of ``PIECE``."""
     raw = vocabulary(docs.sparkSession, path)
     names = ["doc_id", "_hash", "_row", "_piece", "_left", "_ids"]
@@ -262,34 +262,38 @@ def _encoded(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> Da
             for i, j in light_batches(texts):
                 out, held = [], 0
                 for key_, hash_, content in zip(keys[i:j], hashes[i:j], texts[i:j]):
-                    ids, row = np.append(codec.encode(content), end_id).astype("<u4"), row + 1
+                    ids, row = np.append(codec.encode(content), end_id).astype(kind), row + 1
                     for piece, k in enumerate(range(0, len(ids), PIECE)):
                         out.append((key_, hash_, row, piece, len(ids) - k, ids[k : k + PIECE].tobytes()))
                         held += len(out[-1][-1])
                         if held > 1 << 23:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
                             out, held = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, "doc_id long, _hash long, _row long, _piece int, _left long, _ids binary")
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(kind: str):
     """(id, how often) of a task: at most one row for each entry of the vocabulary."""
-    sums = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            more = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(sums))
-            more[: len(sums)] += sums
-            sums = more
-    used = np.flatnonzero(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["id", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                more = np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=len(sums))
+                more[: len(sums)] += sums
+                sums = more
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["id", "n"])
+
+    return run
 
 
-def _to_blocks(raw_table: bytes, segment: int, block: int, lanes: int):
+def _to_blocks(raw_table: bytes, kind: str, segment: int, block: int, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, bits, name = read_table(raw_table)
         coder, shard = Coder(freq, bits), TaskContext.get().partitionId()
@@ -305,7 +309,7 @@ def _to_blocks(raw_table: bytes, segment: int, block: int, lanes: int):
 
         for batch in batches:
             for doc_id, _, this, _, more, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(raw, "<u4")
+                ids = np.frombuffer(raw, kind)
                 if this != row:
                     docs.append([doc_id, 0])
                 row, left = this, more
@@ -333,8 +337,11 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
     if segment % lanes or block % segment:
         raise ValueError("segments hold whole rounds of lanes, blocks whole segments")
     spark = docs.sparkSession
-    pieces = stored(_encoded(docs, path, key, text, end_id))
-    counted = pieces.select("_ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    with open(path, "rb") as f:
+        top = max(end_id, int(byte_codec(f.read()).ids.max()))
+    kind = "<u2" if top < 1 << 16 else "<u4"  # of the ids between the steps, by the vocabulary alone
+    pieces = stored(_encoded(docs, path, key, text, end_id, kind))
+    counted = pieces.select("_ids").mapInArrow(_counts(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 + max([end_id, *counted["id"]]), np.int64)
     counts[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     frame = table_frame(normalised(counts))
@@ -342,7 +349,7 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
     shards = min(MOST_SHARDS, 1 + int(counts.sum()) // shard_ids)
     order = ["doc_id", "_hash", "_row", "_piece"]
     sorted_pieces = pieces.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    _save(sorted_pieces.mapInArrow(_to_blocks(frame, segment, block, lanes), "value binary"), f"{folder}/blocks")
+    _save(sorted_pieces.mapInArrow(_to_blocks(frame, kind, segment, block, lanes), "value binary"), f"{folder}/blocks")
 
 
 def _save(frames_: DataFrame, path: str) -> None:
