@@ -167,6 +167,7 @@ def total_min(value: Column | str) -> Scan:
 
 State = list[float]
 Step = Callable[[dict[str, np.ndarray], State], tuple[dict[str, object], State]]
+Exits = Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]
 
 
 class Ordered:
@@ -258,13 +259,34 @@ class Ordered:
         keys every chunk starts from ``init`` first; chunks whose true entry state turns out to
         differ are run again until no entry state changes, so the result is that of one pass.
         """
-        fields = [f.name for f in _fields(self._df.sparkSession, outputs)]
-        columns = [c for c in self._df.columns]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in self._df.schema.fields), outputs])
         rows = self._df
         if self.chunked:
             rows = checkpoint(rows)  # read once a round, and for the result
             rows = meet(rows, self._entries(rows, step, init), self.parts)
+        return self._stepped(rows, step, outputs, init)
+
+    def walk(self, exits: Exits, step: Step, outputs: str, states: int, init: int = 0) -> Ordered:
+        """``fold`` for machines whose one state is a number below ``states``: two passes, however chunks depend on each other.
+
+        ``exits(columns, states)`` gives the states after a run of rows for an array of states before it. A chunk is
+        summed up as the map from every entry state to its exit. Maps compose: those of a key's chunks, applied in
+        order, give the true entry states, from which the rows are walked once.
+        """
+        if not self.chunked:
+            return self._stepped(self._df, step, outputs, [float(init)])
+        rows = checkpoint(self._df)  # read for the maps and for the result
+        types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        parts = ", ".join(f"`{c}` {types[c]}" for c in self.parts)
+        keyed = rows.repartition(*self.parts).sortWithinPartitions(*self.parts, *self.order)
+        maps = keyed.mapInPandas(_map_runner(self.parts, exits, states), f"{parts}, _map array<int>")
+        by_key = maps.repartition(*self.keys).sortWithinPartitions(*self.keys, CHUNK)
+        entries = by_key.mapInPandas(_compose_runner(self.keys, self.parts, init), f"{parts}, _entry array<double>")
+        return self._stepped(meet(rows, entries, self.parts), step, outputs, [float(init)])
+
+    def _stepped(self, rows: DataFrame, step: Step, outputs: str, init: State) -> Ordered:
+        fields = [f.name for f in _fields(self._df.sparkSession, outputs)]
+        columns = [c for c in self._df.columns]
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in self._df.schema.fields), outputs])
         keyed = rows.repartition(*self.parts).sortWithinPartitions(*self.parts, *self.order)
         out = keyed.mapInPandas(_runner(self.parts, columns, fields, step, init, self.chunked), schema)
         return Ordered(out, self.keys, self.order, self.cuts)
@@ -372,6 +394,52 @@ def _exit_runner(parts, step):
     return run
 
 
+def _map_runner(parts, exits, states):
+    """The map of each chunk: its exit for every entry state."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, reached = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
+            done: list[tuple] = []
+            for key, begin, end in segments(pdf, parts):
+                if key != current:
+                    if current is not None:
+                        done.append((*current, reached.tolist()))
+                    current, reached = key, np.arange(states)
+                reached = exits({c: a[begin:end] for c, a in arrays.items()}, reached)
+            if done:
+                yield pd.DataFrame(done, columns=[*parts, "_map"])
+        if current is not None:
+            yield pd.DataFrame([(*current, reached.tolist())], columns=[*parts, "_map"])
+
+    return run
+
+
+def _compose_runner(keys, parts, init):
+    """The entry state of each chunk of a key, whose maps come in order; only the state is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, init
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            entries = []
+            for key, begin, end in segments(pdf, keys):
+                if key != current:
+                    current, state = key, init
+                for k in range(begin, end):
+                    entries.append([float(state)])
+                    state = int(pdf["_map"].iat[k][state])
+            result = pdf[parts].copy(deep=False)
+            result["_entry"] = pd.Series(entries, index=pdf.index)
+            yield result
+
+    return run
+
+
 def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], like: Ordered | None = None) -> Ordered:
     """Rows ready for scans; large keys are cut into chunks of consecutive rows.
 

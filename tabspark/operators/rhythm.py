@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +97,79 @@ def _triplet_step(units: str, tuplet: str, capacity: int):
     return step
 
 
+def _fills_after(units: str, tuplet: str, capacity: int):
+    """What ``_triplet_step`` leaves of a bar, for many fills at once; plain items in a row are one shift."""
+
+    def exits(columns, fills):
+        whole, shift = capacity * 3, 0
+        for length, three in zip(columns[units].tolist(), columns[tuplet].tolist()):
+            if not three:
+                shift += 3 * length
+                continue
+            fills = (fills + shift) % whole + 2 * length
+            fills, shift = np.where(fills >= whole, 0, fills), 0
+        return (fills + shift) % whole
+
+    return exits
+
+
+def _triplet_line(items: DataFrame, keys: Sequence[str], order: str, units: str, tuplet: str, capacity: int) -> Ordered:
+    """Items with ``start3``, ``bar`` and ``_closed``: the bars that end in them. The fill of a bar has few values, so maps compose."""
+    line = ordered(items, keys, [order]).walk(
+        _fills_after(units, tuplet, capacity), _triplet_step(units, tuplet, capacity), "start3 long, _closed long", capacity * 3
+    )
+    return line.add(bar=running_sum("_closed", before=True))
+
+
 def pack_triplets(items: DataFrame, keys: Sequence[str], order: str, units: str, tuplet: str, capacity: int) -> DataFrame:
     """Bar and place (thirds of a 32nd) where each item begins when some items are triplet notes."""
-    line = ordered(items, keys, [order]).fold(_triplet_step(units, tuplet, capacity), "start3 long, _closed long", [0.0])
-    return line.add(bar=running_sum("_closed", before=True)).df.drop("_closed")
+    return _triplet_line(items, keys, order, units, tuplet, capacity).df.drop("_closed")
+
+
+def pack_triplet_bars(items: DataFrame, keys: Sequence[str], order: str, units: str, tuplet: str, capacity: int) -> DataFrame:
+    """Bars of whole length from plain and triplet items: each beat's bar, ``at3`` in it (thirds of a 32nd), item, part, units.
+
+    A plain item is cut at bar lines into representable lengths; parts after its first are tied, and a remainder below
+    a 32nd, which only an unfinished triplet leaves, sounds in no beat. A triplet note (two thirds of its written length) is never
+    cut; the bar it fills ends with it. The last bar is filled with rests (``item`` null). Items without a length
+    above 0 are left out; a null ``tuplet`` is a plain one.
+    """
+    whole = 3 * capacity
+    three, length = F.coalesce(F.col(tuplet), F.lit(False)), F.col(units).cast("long")
+    rows = items.where(F.col(units) > 0).select(*keys, F.col(order).alias("item"), length.alias("_u"), three.alias("_t"))
+    line = _triplet_line(rows, keys, "item", "_u", "_t", capacity).df
+    start, end = F.col("start3"), F.col("start3") + 3 * F.col("_u")
+    final = F.floor((end - 1) / whole)
+
+    triplets = line.where("_t").select(
+        *keys, "bar", start.alias("at3"), "item", F.lit(0).alias("part"), F.col("_u").cast("int").alias("units"), F.lit(True).alias("tuplet"), F.lit(False).alias("tie")
+    )
+    pieces = line.where("not _t").select(*keys, "item", "bar", "start3", end.alias("_end"), F.explode(F.sequence(F.lit(0).cast("long"), final)).alias("_k"))
+    low = F.greatest(start, F.col("_k") * whole)
+    pieces = pieces.select(
+        *keys, "item", (F.col("bar") + F.col("_k")).alias("bar"), (low - F.col("_k") * whole).alias("_at"),
+        ((F.col("_k") > 1) | ((F.col("_k") == 1) & (whole - start >= 3))).alias("_later"),
+        split_units(F.floor((F.least(F.col("_end"), (F.col("_k") + 1) * whole) - low) / 3)).alias("_parts"),
+    )
+    spread = pieces.select("*", F.posexplode("_parts").alias("part", "units"))
+    before = F.aggregate(F.slice("_parts", 1, F.col("part")), F.lit(0), lambda a, v: a + v)
+    notes = spread.select(
+        *keys, "bar", (F.col("_at") + 3 * before).alias("at3"), "item", "part", "units", F.lit(False).alias("tuplet"),
+        ((F.col("part") > 0) | F.col("_later")).alias("tie"),
+    )
+    # What the last item leaves open, and the last bar in which anything sounds.
+    sounds = F.when(F.col("_t") | (final == 0) | (end - final * whole >= 3), F.col("bar") + F.when(F.col("_t"), 0).otherwise(final))
+    last = line.groupBy(*keys).agg(F.max_by(F.struct("bar", "_closed", "start3", "_u", "_t"), "item").alias("_l"), F.max(sounds).alias("_heard"))
+    reached = F.col("_l")["start3"] + F.col("_l")["_u"] * F.when(F.col("_l")["_t"], 2).otherwise(3)
+    fill = F.when(F.col("_l")["_t"] & (reached >= whole), 0).otherwise(reached % whole)
+    bar = F.col("_l")["bar"] + F.col("_l")["_closed"]
+    gap = last.select(*keys, bar.alias("bar"), fill.alias("_fill"), "_heard").where((F.col("_fill") > 0) & (F.col("_heard") == F.col("bar")))
+    gap = gap.withColumn("_parts", split_units(F.floor((whole - F.col("_fill")) / 3))).select("*", F.posexplode("_parts").alias("part", "units"))
+    rests = gap.select(
+        *keys, "bar", (F.col("_fill") + 3 * before).alias("at3"), F.lit(None).cast(line.schema["item"].dataType).alias("item"), "part", "units",
+        F.lit(False).alias("tuplet"), F.lit(False).alias("tie"),
+    )
+    return triplets.unionByName(notes).unionByName(rests)
 
 
 def _in_proportion(line: Ordered, x: str, origin: str, end: str, units: int, name: str) -> Ordered:

@@ -77,19 +77,39 @@ def pack_bars(spark, folder):
     return R.pack_into_bars(items(spark, folder), ORDER, "item", "units", 32)
 
 
-@query(
-    "pack_triplets",
-    f"""with recursive i as (select *, l_partkey % 4 = 0 as three from ({ITEMS_SQL})),
-    f(l_orderkey, item, start3, nxt, bar, nbar) as (select l_orderkey, item, 0, case when three then case when 2 * units >= 96 then 0 else 2 * units end else 3 * units % 96 end, 0,
+# Where plain and triplet items begin: f(l_orderkey, item, units, three, start3, nxt, bar, nbar), of which nxt and nbar come after the item.
+TRIPLET_SQL = f"""i as (select *, l_partkey % 4 = 0 as three from ({ITEMS_SQL})),
+    f(l_orderkey, item, units, three, start3, nxt, bar, nbar) as (select l_orderkey, item, units, three, 0, case when three then case when 2 * units >= 96 then 0 else 2 * units end else 3 * units % 96 end, 0,
         case when three then case when 2 * units >= 96 then 1 else 0 end else 3 * units // 96 end from i where item = 0 union all
-      select i.l_orderkey, i.item, f.nxt, case when three then case when f.nxt + 2 * units >= 96 then 0 else f.nxt + 2 * units end else (f.nxt + 3 * units) % 96 end, f.nbar,
-        f.nbar + case when three then case when f.nxt + 2 * units >= 96 then 1 else 0 end else (f.nxt + 3 * units) // 96 end
-      from f join i on i.l_orderkey = f.l_orderkey and i.item = f.item + 1)
-    select l_orderkey, item, cast(bar as bigint) as bar, cast(start3 as bigint) as start3 from f""",
-)
+      select i.l_orderkey, i.item, i.units, i.three, f.nxt, case when i.three then case when f.nxt + 2 * i.units >= 96 then 0 else f.nxt + 2 * i.units end else (f.nxt + 3 * i.units) % 96 end, f.nbar,
+        f.nbar + case when i.three then case when f.nxt + 2 * i.units >= 96 then 1 else 0 end else (f.nxt + 3 * i.units) // 96 end
+      from f join i on i.l_orderkey = f.l_orderkey and i.item = f.item + 1)"""
+
+
+def triplet_items(spark, folder):
+    return items(spark, folder).select("l_orderkey", "item", "units", (F.col("l_partkey") % 4 == 0).alias("three"))
+
+
+@query("pack_triplets", f"with recursive {TRIPLET_SQL} select l_orderkey, item, cast(bar as bigint) as bar, cast(start3 as bigint) as start3 from f")
 def pack_triplets(spark, folder):
-    rows = items(spark, folder).select("l_orderkey", "item", "units", (F.col("l_partkey") % 4 == 0).alias("three"))
-    return R.pack_triplets(rows, ORDER, "item", "units", "three", 32).select("l_orderkey", "item", "bar", "start3")
+    return R.pack_triplets(triplet_items(spark, folder), ORDER, "item", "units", "three", 32).select("l_orderkey", "item", "bar", "start3")
+
+
+@query(
+    "pack_triplet_bars",
+    f"""with recursive {SPLIT_SQL}, {TRIPLET_SQL},
+    so as (select u, k, part, coalesce(sum(part) over (partition by u order by k rows between unbounded preceding and 1 preceding), 0) as before from sp),
+    p as (select *, unnest(range(0, (start3 + 3 * units - 1) // 96 + 1)) as j from f where not three),
+    c as (select l_orderkey, item, bar + j as bar, greatest(start3, 96 * j) as low, j, (least(start3 + 3 * units, 96 * j + 96) - greatest(start3, 96 * j)) // 3 as u, j > 1 or (j = 1 and 96 - start3 >= 3) as later from p),
+    n as (select l_orderkey, bar, low - 96 * j + 3 * before as at3, item, k as part, so.part as units, false as tuplet, k > 0 or later as tie from c join so using (u)
+      union all select l_orderkey, bar, start3, item, 0, units, true, false from f where three),
+    l as (select l_orderkey, max_by(nbar, item) as bar, max_by(nxt, item) as fill from f group by 1),
+    g as (select * from l where fill > 0 and exists (select 1 from n where n.l_orderkey = l.l_orderkey and n.bar = l.bar))
+    select l_orderkey, cast(bar as bigint) as bar, cast(at3 as bigint) as at3, item, part, cast(units as int) as units, tuplet, tie from n union all
+    select l_orderkey, bar, cast(fill + 3 * before as bigint), null, k, so.part, false, false from g join so on so.u = (96 - fill) // 3""",
+)
+def pack_triplet_bars(spark, folder):
+    return R.pack_triplet_bars(triplet_items(spark, folder), ORDER, "item", "units", "three", 32)
 
 
 # One bar per user and day; a point's place is the minute of the day.

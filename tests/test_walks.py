@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+from fractions import Fraction
+
+import pytest
+
 from tabspark.operators import layout as L
 from tabspark.operators import lyrics as Y
 from tabspark.operators import rhythm as R
@@ -30,3 +35,52 @@ def test_ramps(spark):
     marks = spark.createDataFrame([(1, 0, 2.0, 47)], "k int, mid long, x double, value int")
     got = [r.level for r in R.ramps(notes, pins, marks, ["k"], 0.5, 6.0).orderBy("nid").collect()]
     assert got == [None, 47, 63, 79, None]  # p, mp, mf over the hairpin
+
+
+def bars_of(items, capacity):
+    """(bar, start in 32nds, item, units, tuplet, tie) of items laid end to end, by a loop over exact fractions."""
+    out, bar, filled = [], 0, Fraction(0)
+
+    def plain(length, item, tied):
+        at, rest = filled, int(length)
+        for v in R.REPRESENTABLE_UNITS:
+            while rest >= v:
+                out.append((bar, at, item, v, False, tied))
+                at, rest, tied = at + v, rest - v, tied or item is not None
+        return tied
+
+    for item, units, three in items:
+        if three:
+            out.append((bar, filled, item, units, True, False))
+            filled += Fraction(2 * units, 3)
+            if filled >= capacity:
+                bar, filled = bar + 1, Fraction(0)
+            continue
+        left, tied = Fraction(units), False
+        while left > 0:
+            take = min(capacity - filled, left)
+            tied = plain(take, item, tied)
+            filled, left = filled + take, left - take
+            if filled == capacity:
+                bar, filled = bar + 1, Fraction(0)
+    if any(b == bar for b, *_ in out):
+        plain(capacity - filled, None, False)
+    return out
+
+
+@pytest.mark.parametrize("split", [None, "11"])
+def test_triplets_fill_bars(spark, split):
+    rnd = random.Random(12)
+    lengths = {1: [(i, rnd.choice([1, 2, 3, 4, 6, 8, 40, 70]), rnd.random() < 0.4) for i in range(400)]}
+    lengths |= {k: [(i, rnd.choice([1, 2, 4, 8]), rnd.random() < 0.5) for i in range(rnd.randint(1, 9))] for k in range(2, 40)}
+    lengths[None] = [(0, 4, True), (1, 4, True), (2, 4, True), (3, 8, None), (4, 16, False)]
+    rows = [(k, i, u, t) for k, items in lengths.items() for i, u, t in items] + [(50, 0, None, True), (50, 1, 0, False)]
+    df = spark.createDataFrame(rows, "k int, i long, u int, t boolean")
+    if split:
+        spark.conf.set("spark.tabspark.splitRows", split)
+    try:
+        got = R.pack_triplet_bars(df, ["k"], "i", "u", "t", 32).collect()
+    finally:
+        spark.conf.unset("spark.tabspark.splitRows")
+    want = [(k, b, int(3 * at), i, u, three, tie) for k, items in lengths.items() for b, at, i, u, three, tie in bars_of(items, 32)]
+    assert sorted(map(repr, ((r.k, r.bar, r.at3, r.item, r.units, r.tuplet, r.tie) for r in got))) == sorted(map(repr, want))
