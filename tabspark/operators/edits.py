@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import Ordered, fill, lag, number, ordered, running_sum, total_sum
+from ..functions.ordered import Ordered, fill, lag, lead, meet, number, ordered, running_sum, total_sum
+from ..functions.session import checkpoint
 
 MAX_EDITS, MAX_FRET = 500, 30  # fixed values: edits of a request, frets of a neck, and the bounds of the places
 BOUNDS = {"track": (0, 63), "bar": (0, 9999), "voice": (0, 1), "beat": (0, 999), "string": (1, 12), "expected": (0, 99)}
@@ -75,6 +77,71 @@ def apply_note_edits(
     return after, requests
 
 
+def settled(requests: DataFrame, judge: Callable[[DataFrame], DataFrame], keys: Sequence[str]) -> DataFrame:
+    """(keys, reason) of requests that follow one another, each seeing what the accepted ones before it left.
+
+    All requests without a flaw of their own are taken for accepted first. ``judge`` gives each one's reason (null: none)
+    under the verdicts so far. A verdict depends on earlier requests only, so each round settles at least one
+    more request of each line, and the first round that changes nothing is the answer of a sequential loop; where
+    refusals don't decide over each other, that is the second or third.
+    """
+    known = checkpoint(requests)
+    while True:
+        again = checkpoint(judge(known))
+        before = known.select(*keys, F.col("reason").isNull().alias("_was"))
+        if meet(again, before, keys).where(F.col("reason").isNull() != F.col("_was")).isEmpty():
+            return again
+        known = again
+
+
+def apply_requests(
+    notes: DataFrame, edits: DataFrame, song: Sequence[str], string: str, beat: str, tie: str, fret: str, request: str, seq: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(notes after all requests, each request's ``reason`` of refusal or null, beats that lost their last note).
+
+    The requests of a song follow one another in the order of ``request``, the edits of one in the order of ``seq``. An edit names a note
+    and the fret it expects there; it sets the fret of the whole tied chain, or removes it (null fret). A request with an edit
+    that finds no such note ("gone") or wants a fret beyond the neck ("fret") changes nothing; the first such edit gives
+    the reason. Edits of a chain meet in a scan over that chain, so a song with many requests needs no task of its own.
+    Repeated rows of edits are edits of their own only if ``seq`` tells them apart.
+    """
+    place, line = [*song, string], [*song, request]
+    chained = checkpoint(tied_chains(notes, place, beat, tie))
+    necks = notes.groupBy(*song).agg(F.greatest(F.max(fret), F.lit(24), F.lit(MAX_FRET)).alias("_neck"))
+    sent = edits.select(*place, beat, request, seq, "expected", F.col(fret).alias("_new"))
+    aimed = meet(sent, chained.select(*place, beat, "chain", F.col(fret).alias("_now")), [*place, beat], "left")
+    aimed = checkpoint(meet(aimed, necks, song, "left").withColumn("_high", F.coalesce(F.col("_new") > F.col("_neck"), F.lit(False))).drop("_neck"))
+    missed = F.when(F.col("chain").isNull() | (F.col("_now").isNull()), "gone").when(F.col("_high"), "fret")
+
+    def reasons(judged: DataFrame, reason: Column) -> DataFrame:
+        return judged.withColumn("_r", reason).groupBy(*line).agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col(seq))).alias("reason"))
+
+    hits, lost = aimed.where("chain is not null"), aimed.where("chain is null")
+
+    by_chain = ordered(hits, [*place, "chain"], [request, seq])
+
+    def judge(known: DataFrame) -> DataFrame:
+        verdicts = known.select(*line, F.col("reason").isNull().alias("_in"))
+        rows = ordered(meet(hits, verdicts, line), [*place, "chain"], [request, seq], like=by_chain).add(
+            _own=lag(F.struct(F.col(request).alias("r"), F.col("_new").alias("f"))),
+            _left=fill(F.when(F.col("_in"), F.struct(F.col("_new").alias("f"))), before=True),
+        )
+        seen = F.when(F.col("_own")["r"] == F.col(request), F.col("_own")["f"]).when(F.col("_left").isNotNull(), F.col("_left")["f"]).otherwise(F.col("_now"))
+        found = F.coalesce(seen == F.col("expected"), F.lit(False))
+        judged = rows.df.select(*line, seq, F.when(~found, "gone").when(F.col("_high"), "fret").alias("_r"))
+        return reasons(judged.unionByName(lost.select(*line, seq, F.lit("gone").alias("_r"))), F.col("_r"))
+
+    requests = settled(reasons(aimed, missed), judge, line)
+    done = meet(hits, requests.where("reason is null").select(*line), line, "left_semi")
+    last = done.groupBy(*place, "chain").agg(F.max_by(F.struct(F.col("_new").alias("f")), F.struct(request, seq)).alias("_to"))
+    out = meet(chained, last, [*place, "chain"], "left")
+    gone = F.col("_to").isNotNull() & F.col("_to")["f"].isNull()
+    after = out.where(~gone).withColumn(fret, F.when(F.col("_to").isNotNull(), F.col("_to")["f"]).otherwise(F.col(fret))).drop("_to", "chain")
+    # A beat without notes is a rest now.
+    left = out.groupBy(*song, beat).agg(F.every(gone).alias("_gone")).where("_gone").drop("_gone")
+    return after, requests, left
+
+
 def filling_rests(units: Column) -> Column:
     """Lengths of the rests that fill so many 32nds: plain values only, the longest first."""
     whole = F.array_repeat(F.lit(32), F.floor(units / 32).cast("int"))
@@ -111,3 +178,114 @@ def apply_length_edits(
     added = added.select(*bar_keys, (F.col("_last") + 1 + F.col("_k")).alias(beat), F.col(units), F.lit(True).alias(rest))
     same = beats.select(*bar_keys, beat, units, rest).join(good.select(*bar_keys), list(bar_keys), "left_anti")
     return same.unionByName(kept).unionByName(added), results
+
+
+# Ticks of a 32nd note, and of the rests that fill a bar's end: plain ones, then those of triplets.
+TICKS_32ND = 120
+PLAIN_RESTS = tuple(TICKS_32ND * v for v in (32, 16, 8, 4, 2, 1))
+TRIPLET_RESTS = tuple(v * 2 // 3 for v in PLAIN_RESTS)
+
+
+def rests_filling(capacity: int) -> dict[int, list[int]]:
+    """Rests for every number of ticks up to ``capacity`` that rests can fill, the preferred first one first.
+
+    Whole 32nds take plain rests before those of triplets, other times the other way round; the longest that leaves
+    something rests can fill comes first. Shorter times are known when a longer one is looked up.
+    """
+    known: dict[int, list[int]] = {0: []}
+    step = TRIPLET_RESTS[-1] // 2
+    for ticks in range(step, capacity + 1, step):
+        order = PLAIN_RESTS + TRIPLET_RESTS if ticks % TICKS_32ND == 0 else TRIPLET_RESTS + PLAIN_RESTS
+        first = next((v for v in order if ticks - v in known), None)
+        if first is not None:
+            known[ticks] = [first, *known[ticks - first]]
+    return known
+
+
+def _bar_after(bar: list[tuple[int, bool]], at: int, expected: int, length: int, capacity: int, rests: dict[int, list[int]]):
+    """(bar, reason, ticks missing) of one length edit; a bar is (ticks, rest) of each beat."""
+    if not 0 <= at < len(bar) or bar[at][0] != expected:
+        return bar, "gone", None
+    played = max((k for k, (_, rest) in enumerate(bar) if not rest), default=-1)
+    kept = [*bar[:at], (length, bar[at][1]), *bar[at + 1 : max(at, played) + 1]]
+    room = capacity - sum(ticks for ticks, _ in kept)
+    if room < 0:
+        return bar, "full", -room
+    if room not in rests:
+        return bar, "invalid", None
+    return [*kept, *((v, True) for v in rests[room])], None, None
+
+
+def _length_runner(keys: list[str], capacity: int, request: str):
+    """Edits of each bar in order: the state is the bar as the accepted requests leave it, and as this request does so far."""
+    rests = rests_filling(capacity)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current = sent = None
+        base: list = []
+        bar: list = []
+        broken = False
+        for pdf in batches:
+            reasons, missing, bars = [], [], []
+            for k, row in enumerate(zip(*(pdf[c] for c in keys))):
+                key = tuple(None if pd.isna(v) else v for v in row)
+                if key != current:
+                    current, sent = key, None
+                    held = pdf["_bar"].iat[k]
+                    base = [] if held is None else [(int(b["ticks"]), bool(b["rest"])) for b in held]
+                if pdf[request].iat[k] != sent:
+                    sent, bar, broken = pdf[request].iat[k], base, False
+                reason, short = None, None
+                if not broken:
+                    bar, reason, short = _bar_after(bar, int(pdf["_at"].iat[k]), int(pdf["_expected"].iat[k]), int(pdf["_length"].iat[k]), capacity, rests)
+                    broken = reason is not None
+                if pdf["_in"].iat[k] and not broken and pdf["_ends"].iat[k]:
+                    base = bar
+                reasons.append(reason)
+                missing.append(short)
+                bars.append([{"ticks": t, "rest": r} for t, r in base] if pdf["_last"].iat[k] else None)
+            out = pdf[[*keys, request, "_seq"]].copy(deep=False)
+            out["_r"], out["_short"], out["_after"] = reasons, pd.Series(missing, index=pdf.index, dtype="Int64"), bars
+            yield out
+
+    return run
+
+
+def apply_length_requests(
+    beats: DataFrame, edits: DataFrame, song: Sequence[str], bar: Sequence[str], beat: str, ticks: str, rest: str, capacity: int, request: str, seq: str
+) -> tuple[DataFrame, DataFrame]:
+    """(beats after all requests, each request's ``reason`` of refusal or null and the ticks missing).
+
+    Beats of a bar (song, bar) are numbered from 0. A length edit names a beat and the ticks it expects (``expected``); ``new_ticks`` is
+    its length from then on. The rests after it at the bar's end give or take the time and are filled again with the
+    longest rests, those of triplets only for what plain ones can't make, so every bar stays whole. Reasons: "gone" (no such beat
+    or another length), "full" (time is missing), "invalid" (no rests add up). Requests of a song follow one another and are
+    accepted as a whole, over all their bars; the edits of a bar stream through its task in order.
+    """
+    keys, line = [*song, *bar], [*song, request]
+    whole = beats.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(beat, F.col(ticks).cast("int").alias("ticks"), F.col(rest).alias("rest")))), lambda b: F.struct(b["ticks"], b["rest"])).alias("_bar")
+    )  # a bar is a bounded list
+    sent = edits.select(
+        *keys, request, F.col(seq).alias("_seq"), F.col(beat).cast("long").alias("_at"), F.col("expected").cast("long").alias("_expected"), F.col("new_ticks").cast("long").alias("_length")
+    ).na.fill(-1, ["_at", "_expected"])
+    rows = ordered(meet(sent, whole, keys, "left"), keys, [request, "_seq"]).add(_next=lead(request))
+    rows = checkpoint(rows.df.withColumns({"_last": F.col("_next").isNull(), "_ends": F.col("_next").isNull() | (F.col("_next") != F.col(request))}))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in (*keys, request, "_seq")), "_r string, _short long, _after array<struct<ticks: int, rest: boolean>>"])
+
+    def stepped(known: DataFrame) -> DataFrame:
+        verdicts = known.select(*line, F.col("reason").isNull().alias("_in"))
+        data = meet(rows, verdicts, line).repartition(*keys).sortWithinPartitions(*keys, request, "_seq")
+        return data.mapInPandas(_length_runner(keys, capacity, request), schema)
+
+    def judge(known: DataFrame) -> DataFrame:
+        bad = F.when(F.col("_r").isNotNull(), F.struct("_seq", *bar))
+        return stepped(known).groupBy(*line).agg(F.min_by("_r", bad).alias("reason"), F.min_by("_short", bad).alias("missing_ticks"))
+
+    start = edits.select(*line).distinct().withColumns({"reason": F.lit(None).cast("string"), "missing_ticks": F.lit(None).cast("long")})
+    requests = settled(start, judge, line)
+    done = stepped(requests).where("_after is not null").select(*keys, F.posexplode("_after").alias(beat, "_b"))
+    changed = done.select(*keys, F.col(beat).cast(beats.schema[beat].dataType).alias(beat), F.col("_b")["ticks"].cast(beats.schema[ticks].dataType).alias(ticks), F.col("_b")["rest"].alias(rest))
+    same = meet(beats.select(*keys, beat, ticks, rest), edits.select(*keys).distinct(), keys, "left_anti")
+    return same.unionByName(changed), requests

@@ -497,6 +497,44 @@ def apply_note_edits(spark, folder):
     return after.select("l_orderkey", "string", "beat", "fret")
 
 
+# Request r of an order edits note r and, where it is there, note r + 1; both expect the frets the song had at first.
+REQUEST_SQL = f"""{CHAIN_SQL}, ec as (select *, dense_rank() over (partition by l_orderkey order by string, chain) as cid from en),
+  e as (select a.l_orderkey, a.beat as r, a.cid as c0, a.fret as x0, case when (a.l_orderkey + a.beat) % 5 = 0 then null else a.fret + 2 + case when a.l_orderkey % 11 = 0 and a.beat = 2 then 30 else 0 end end as n0,
+    b.cid as c1, b.fret + case when a.l_orderkey % 7 = 0 and a.beat % 2 = 0 then 1 else 0 end as x1, b.fret + 1 as n1 from ec a left join ec b on b.l_orderkey = a.l_orderkey and b.beat = a.beat + 1),
+  s(l_orderkey, r, frets, reason) as (select l_orderkey, cast(-1 as bigint), list(fret order by cid), cast(null as varchar) from (select distinct l_orderkey, cid, fret from ec) group by 1 union all
+    select l_orderkey, r, case when reason is null then f2 else frets end, reason from (select *, case when frets[c0] is distinct from x0 then 'gone' when n0 > 30 then 'fret' when c1 is null then null when f1[c1] is distinct from x1 then 'gone' end as reason,
+        case when c1 is null then f1 else list_transform(range(1, len(f1) + 1), lambda i: case when i = c1 then n1 else f1[i] end) end as f2
+      from (select e.*, s.frets, list_transform(range(1, len(s.frets) + 1), lambda i: case when i = e.c0 then e.n0 else s.frets[i] end) as f1 from s join e on e.l_orderkey = s.l_orderkey and e.r = s.r + 1))),
+  z as (select l_orderkey, max_by(frets, r) as frets from s group by 1)"""
+
+
+def note_requests_applied(spark, folder):
+    n = edit_notes(spark, folder).drop("chain")
+    own = n.selectExpr(
+        "l_orderkey", "beat as request", "0 as seq", "string", "beat", "fret as expected",
+        "if((l_orderkey + beat) % 5 = 0, null, fret + 2 + if(l_orderkey % 11 = 0 and beat = 2, 30, 0)) as fret",
+    )
+    next_ = n.where("beat > 0").selectExpr(
+        "l_orderkey", "beat - 1 as request", "1 as seq", "string", "beat", "fret + if(l_orderkey % 7 = 0 and (beat - 1) % 2 = 0, 1, 0) as expected", "fret + 1 as fret",
+    )
+    return E.apply_requests(n, own.unionByName(next_), ORDER, "string", "beat", "tie", "fret", "request", "seq")
+
+
+@query("note_requests", f"with recursive {REQUEST_SQL} select l_orderkey, r as request, reason from s where r >= 0")
+def note_requests(spark, folder):
+    return note_requests_applied(spark, folder)[1]
+
+
+@query("requested_notes", f"with recursive {REQUEST_SQL} select ec.l_orderkey, string, beat, z.frets[cid] as fret from ec join z using (l_orderkey) where z.frets[cid] is not null")
+def requested_notes(spark, folder):
+    return note_requests_applied(spark, folder)[0].select("l_orderkey", "string", "beat", "fret")
+
+
+@query("emptied_beats", f"with recursive {REQUEST_SQL} select ec.l_orderkey, beat from ec join z using (l_orderkey) where z.frets[cid] is null")
+def emptied_beats(spark, folder):
+    return note_requests_applied(spark, folder)[2]
+
+
 LENGTH_SQL = f"""b0 as (select l_orderkey, item // 5 as bar, item % 5 as beat, 4 + 2 * (units % 3) as units, l_partkey % 3 = 0 as rest from ({ITEMS_SQL}))"""
 
 
@@ -528,6 +566,41 @@ def length_edited_beats(spark, folder):
     return after.groupBy("l_orderkey", "bar").agg(line.alias("beats"))
 
 
+# Bars of five items; request r of a bar gives its beat r another length. Rests that add up are listed by room.
+BAR_ITEMS = "l_orderkey, item {div} 5 as bar, item % 5 as beat, case units % 4 when 0 then 480 when 1 then 960 when 2 then 320 else 240 end as ticks, l_partkey % 3 = 0 as rest"
+NEW_TICKS = "case (item + units) % 5 when 0 then 320 when 1 then 1440 when 2 then 640 when 3 then 480 else 180 end"
+RESTS_SQL = "values " + ", ".join(f"({room}, {v}::int[])" for room, v in E.rests_filling(3840).items())
+LENGTH_REQUEST_SQL = f"""b as (select {BAR_ITEMS.format(div="//")}, {NEW_TICKS} as nw, item from ({ITEMS_SQL})), rt(room, rests) as ({RESTS_SQL}),
+  e as (select l_orderkey, bar, beat as r, ticks + case when item % 6 = 5 then 120 else 0 end as ex, nw from b where beat < 3),
+  s(l_orderkey, bar, r, ts, rs, reason, missing) as (select l_orderkey, bar, cast(-1 as bigint), list(ticks order by beat), list(rest order by beat), cast(null as varchar), cast(null as bigint) from b group by 1, 2 union all
+    select l_orderkey, bar, r, case when reason is null then kt || rests else ts end, case when reason is null then kr || list_transform(rests, lambda x: true) else rs end, reason, case when reason = 'full' then -room end
+    from (select k.*, rt.rests, case when ts[r + 1] is distinct from ex then 'gone' when k.room < 0 then 'full' when rt.room is null then 'invalid' end as reason from
+      (select *, cast(3840 - list_sum(kt) as bigint) as room, list_transform(range(1, keep + 1), lambda i: rs[i]) as kr from
+        (select *, list_transform(range(1, keep + 1), lambda i: case when i = r + 1 then nw else ts[i] end) as kt from
+          (select s.l_orderkey, s.bar, e.r, ts, rs, ex, nw, greatest(e.r + 1, list_max(list_transform(range(1, len(ts) + 1), lambda i: case when rs[i] then 0 else i end))) as keep
+           from s join e on e.l_orderkey = s.l_orderkey and e.bar = s.bar and e.r = s.r + 1))) k left join rt on rt.room = k.room))"""
+
+
+def length_requests_applied(spark, folder):
+    rows = items(spark, folder).selectExpr(*BAR_ITEMS.format(div="div").split(", "), f"{NEW_TICKS} as new_ticks", "item")
+    sent = rows.where("beat < 3").selectExpr("l_orderkey", "bar", "beat", "beat as request", "0 as seq", "ticks + if(item % 6 = 5, 120, 0) as expected", "new_ticks")
+    return E.apply_length_requests(rows.drop("new_ticks", "item"), sent, ["l_orderkey", "bar"], [], "beat", "ticks", "rest", 3840, "request", "seq")
+
+
+@query("length_requests", f"with recursive {LENGTH_REQUEST_SQL} select l_orderkey, bar, r as request, reason, missing as missing_ticks from s where r >= 0")
+def length_requests(spark, folder):
+    return length_requests_applied(spark, folder)[1]
+
+
+@query(
+    "length_requested_beats",
+    f"""with recursive {LENGTH_REQUEST_SQL}, z as (select l_orderkey, bar, max_by(ts, r) as ts, max_by(rs, r) as rs from s group by 1, 2), n as (select *, unnest(range(0, len(ts))) as beat from z)
+    select l_orderkey, bar, beat, ts[beat + 1] as ticks, rs[beat + 1] as rest from n""",
+)
+def length_requested_beats(spark, folder):
+    return length_requests_applied(spark, folder)[0]
+
+
 # --- Sources and sinks ---
 @query(
     "prepare_glyphs",
