@@ -25,11 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import query, stored, table, word_runs
+from .shared import light_batches, query, stored, table, word_runs
 
 WORDS = re.compile(r"\w+")
 FOLDS = 5
@@ -168,15 +167,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def select(docs: DataFrame, model: Model, keep: int = 0, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose prediction is ``keep``; texts are not shuffled."""
+    """The rows of ``docs``, all columns unchanged, whose prediction is ``keep``; only texts go to Python, a few at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = shared.value.score(batch.column(batch.schema.names.index(text)).to_pylist())
-            yield batch.filter(pa.array((s >= 0.5) == bool(keep)))
+    @F.pandas_udf("boolean")
+    def chosen(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            texts = [t or "" for t in series]
+            some = [shared.value.score(texts[i:j]) for i, j in light_batches(texts)]
+            yield pd.Series((np.concatenate([np.zeros(0), *some]) >= 0.5) == bool(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(chosen(F.col(text)))
 
 
 @query("op1_toxicity")

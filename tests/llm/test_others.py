@@ -328,13 +328,13 @@ def test_pipeline(spark, texts, tmp_path):
     import corpus_pipeline
 
     rnd = random.Random(8)
-    rows = [(i, t) for i, t in texts if i is not None]
+    rows = list(texts)
     rows += [(1000 + i, " ".join([*(rnd.choice(["foul", "vile"]) for _ in range(4)), *(f"v{rnd.randrange(900)}" for _ in range(40))])) for i in range(80)]
     item = "one two three four five six seven eight nine ten"
     rows += [(2000, f"see {item} there"), (2001, "card 4111111111111111 ok")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
-    marks = [(i, 1, int(1000 <= i < 2000)) for i, _ in rows]
+    marks = [(i, 1, int(1000 <= i < 2000)) for i, _ in rows if i is not None]
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     now, seen = spark.read.parquet(f"file://{tmp_path}/documents.parquet"), {}
@@ -346,7 +346,7 @@ def test_pipeline(spark, texts, tmp_path):
         out.write.parquet(f"file://{tmp_path}/{name}")
         now = spark.read.parquet(f"file://{tmp_path}/{name}")
         seen[name] = {r["doc_id"] for r in before.select("doc_id").collect()} - {r["doc_id"] for r in now.select("doc_id").collect()}
-    assert seen["toxicity"] == {i for i, _ in rows if 1000 <= i < 2000}
+    assert seen["toxicity"] == {i for i, _ in rows if i is not None and 1000 <= i < 2000}
     assert {21, 22, 23} <= seen["near_dedup"] and 20 not in seen["near_dedup"]
     assert seen["decontamination"] == {2000} and not seen["pii"] and not seen["bpe"]
     assert all(r["exact"] for r in now.collect())
@@ -369,6 +369,29 @@ def test_near_copies_without_ids_in_the_pipeline(spark, monkeypatch):
     assert (1 - 0.8**5) ** (seen[0]["registers"] // 5) < 4e-6
 
 
+def test_contaminated_rows_are_judged_one_by_one(spark, tmp_path):
+    """Rows without an id, and rows that share one, neither fall with a contaminated row nor make up an item together."""
+    import corpus_pipeline
+
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    first, second = item[: item.index("six")], item[item.index("six") :]
+    rows = [(None, f"see {item} there"), (None, "clean"), (None, None), (5, item), (5, "clean too"), (None, first), (None, second), (6, ""), (5, "clean too")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row int")
+    out = corpus_pipeline.drop_contaminated(spark, docs, f"file://{tmp_path}")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_the_library_does_not_need_the_operators():
     import pathlib
 
