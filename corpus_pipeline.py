@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabspark.functions.ordered import number, ordered
 from tabspark.llm import bpe, pseudonyms, setsketch, tiling, toxicity
 from tabspark.llm.shared import stored, table
 
@@ -17,21 +16,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _with_row_key(docs: DataFrame) -> DataFrame:
-    """The documents with ``_row``: their id, or for each row without one a number of its own above all ids."""
-    top, nulls = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    keyed = docs.withColumn("_row", F.col("doc_id").cast("long"))
-    if not nulls:
-        return keyed
-    top = top or 0
-    if top + nulls >= 1 << 63:
-        raise ValueError("no room above the largest doc_id for rows without one")
-    rows = stored(docs.where("doc_id is null").withColumns({"_n": F.monotonically_increasing_id(), "_g": F.lit(0)}))
-    rows = ordered(rows, ["_g"], ["_n"]).add(_row=number()).df.withColumn("_row", F.col("_row").cast("long") + F.lit(top).cast("long"))
-    return keyed.where("doc_id is not null").unionByName(stored(rows.select(keyed.columns)))
+    """The documents with ``_row``, a number of its own for each row; stored, so that every later reading has the same ones."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones of these, doesn't predict to be toxic."""
+    """Documents that the classifier, trained on the labelled ones of these, doesn't predict to be toxic.
+
+    Each row is judged by its text alone: null and empty texts by the classifier's bias, repeated rows alike, rows
+    without an id like others. Without labels, and for an empty table, nothing is dropped.
+    """
+    docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.select(docs, model, keep=0)
 
@@ -39,29 +34,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more): that with the smallest id.
 
-    Each row without an id is a document of its own, which comes after those with ids. With 32 bands of 5 registers a
-    pair at 0.8 is missed with probability 3e-6, (1 - 0.8**5)**32; with the default 20 it would be 3.6e-4.
+    Rows are compared one by one, whatever their ids: rows without an id come after those with one, equal ids keep the
+    row that was read first. Null texts and texts without words are no copies of anything and stay. With 32 bands of 5
+    registers a pair at 0.8 is missed with probability 3e-6, (1 - 0.8**5)**32; with the default 20 it would be 3.6e-4.
     """
-    rows = _with_row_key(docs)
-    # Without any words there is nothing to compare: such documents stay.
-    verdicts = setsketch.near_documents(rows, key="_row", width=5, percent=80, registers=160)
-    ids = verdicts.where("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(ids, "_row", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    rows = _with_row_key(docs.select(*COLUMNS))
+    verdicts = setsketch.near_documents(rows.select("_row", "text"), key="_row", width=5, percent=80, registers=160)
+    groups = verdicts.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first.alias("f")).select(F.col("f._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no item of the benchmark is found."""
-    found = tiling.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents in which no item of the benchmark is found.
+
+    Rows are judged one by one, whatever their ids, null ones included. Null and empty texts hold no item and stay;
+    without a benchmark nothing is dropped.
+    """
+    rows = _with_row_key(docs.select(*COLUMNS))
+    found = tiling.matches(rows, table(spark, sf_dir, "benchmark"), key="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data; n_chars follows the text."""
+    """All documents, with pseudonyms for personal data; n_chars follows the text. Null texts stay null, with a null n_chars."""
     return pseudonyms.pseudonymise(docs, count=None).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with token ids, their number, and whether decoding them gives the text back."""
+    """All documents with token ids, their number, and whether decoding them gives the text back.
+
+    Null and empty texts have no ids; repeated rows are encoded as often as they are there.
+    """
     path = bpe.byte_bpe_path()
     coded = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), path)
     return coded.drop("text")
