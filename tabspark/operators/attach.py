@@ -118,12 +118,18 @@ def between_pair(
 
 
 def isolated(glyphs: DataFrame, keys: Sequence[str], x0: str, x1: str, tie: str, k: float = 0.5) -> DataFrame:
-    """Glyphs with no other glyph of the line within ``k`` of their width."""
-    line = ordered(glyphs, keys, [x0, tie]).add(_left=lag(x1), _right=lead(x0))
-    width = F.col(x1) - F.col(x0)
-    left, right = F.col(x0) - F.col("_left"), F.col("_right") - F.col(x1)
-    touching = (left.between(0, k * width) & (left < k * width)) | (right.between(0, k * width) & (right < k * width))
-    return line.df.where(~F.coalesce(touching, F.lit(False))).drop("_left", "_right")
+    """Glyphs that no other glyph of the line touches: none begins less than ``k`` of their width after them or ends as little before them.
+
+    Not only neighbours in the order of starts count: glyphs may overlap. ``tie`` tells glyphs of a line apart.
+    """
+    marks = glyphs.select(*keys, tie, F.col(x0).alias("_m0"), F.col(x1).alias("_m1"))
+    after = merged(glyphs, marks, keys, F.col(x1), tie, F.col("_m0"), tie, marks_first=False).add(_n=fill_back("_mark"))
+    seen = back_to_points(after, glyphs, _right=F.col("_n")["_m0"])
+    before = merged(seen, marks, keys, F.col(x0), tie, F.col("_m1"), tie).add(_p=fill("_mark"))
+    width = k * (F.col(x1) - F.col(x0))
+    touching = (F.col("_right") - F.col(x1) < width) | (F.col(x0) - F.col("_left") < width)
+    out = back_to_points(before, seen, _left=F.col("_p")["_m1"])
+    return out.where(~F.coalesce(touching, F.lit(False))).drop("_left", "_right")
 
 
 def attach_next(

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.asof import back_to_points, merged
-from ..functions.ordered import fill, fill_back, lag, lead, number, ordered, running_max, running_sum, total_count
+from ..functions.ordered import fill, fill_back, lag, lead, number, ordered, running_max, running_sum, total_count, total_max
 from .rhythm import split_units
 
 
 def place_lyrics(marks: DataFrame, bars: DataFrame, keys: Sequence[str], x: str, mark_id: str, bar: str) -> DataFrame:
-    """Bar and place from 0 to 1 of each syllable; past the last bar line it stays at that bar's end."""
-    line = merged(marks, bars, keys, F.col(x), mark_id, F.col("start"), bar).add(_m=fill("_mark"))
-    m = F.col("_m")
+    """Bar and place from 0 to 1 of each syllable: before the first bar line at that bar's start, past the last one at its bar's end."""
+    line = merged(marks, bars, keys, F.col(x), mark_id, F.col("start"), bar).add(_m=fill("_mark"), _first=fill_back("_mark"))
+    m = F.coalesce("_m", "_first")
     width = m["end"] - m["start"]
     place = F.when(width > 0, F.least(F.greatest((F.col("_pos") - m["start"]) / width, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return back_to_points(line, marks, bar=m[bar], place=place)
@@ -67,16 +67,18 @@ def assign_lyrics(syllables: DataFrame, beats: DataFrame, song: Sequence[str], o
 def syllable_track(syllables: DataFrame, keys: Sequence[str], order: Sequence[str], place: str, units: int) -> DataFrame:
     """One note per syllable in each bar (key) on a 16th grid, or 32nds in dense text, pushed apart to the right.
 
-    Gives onset and the note's written length; syllables beyond the last slot share the last note.
+    Gives onset and the note's written length; syllables beyond the last slot share the last note: no row is lost.
     """
     line = ordered(syllables, keys, order).add(_i=number(), _n=total_count())
     grid = F.when(F.col("_n") <= units // 2, 2).otherwise(1)
     q = F.least(units - grid, F.rint(F.col(place) * units / grid) * grid)
     line = line.with_columns(_g=grid, _free=q - F.col("_i") * grid).add(_push=running_max("_free"))
     onset = (F.col("_push") + F.col("_i") * F.col("_g")).cast("int")
-    kept = line.with_columns(onset=onset).map(lambda d: d.where(F.col("onset") < units)).add(_next=lead("onset"))
-    length = F.element_at(split_units(F.coalesce("_next", F.lit(units)) - F.col("onset")), 1)
-    return kept.df.withColumn("length", length).drop("_i", "_n", "_g", "_free", "_push", "_next")
+    line = line.with_columns(onset=onset).add(_top=total_max(F.when(F.col("onset") < units, F.col("onset"))), _next=lead("onset"))
+    shared = F.least("onset", "_top")
+    end = F.when(F.col("onset") < F.col("_top"), F.col("_next")).otherwise(units)
+    length = F.element_at(split_units(end - shared), 1)
+    return line.df.withColumns({"onset": shared, "length": length}).drop("_i", "_n", "_g", "_free", "_push", "_next", "_top")
 
 
 def lyric_line(assigned: DataFrame, keys: Sequence[str], order: str, text: str, joins: str, beat: str) -> DataFrame:

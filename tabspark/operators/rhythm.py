@@ -336,16 +336,18 @@ def resolve_links(notes: DataFrame, keys: Sequence[str], beat: str, fret: str, p
 
 
 def hold_bends(notes: DataFrame, keys: Sequence[str], order: str, tie: str, bend: str, release: str) -> DataFrame:
-    """Bends held over ties: a tied note keeps the bend in force until it was released."""
-    known = F.when(~F.col(tie) | (F.col(bend) > 0) | F.col(release), F.struct(bend, release))
-    line = ordered(notes, keys, [order]).with_columns(_k=known).add(_b=fill("_k", before=True))
-    before = F.col("_b")
-    going = F.col(tie) & (before[bend] > 0) & ~before[release]
-    held = F.coalesce(going & (F.col(bend) == 0), F.lit(False))
-    again = F.coalesce(F.col(tie) & (F.col(bend) > 0) & (before[bend] > 0), F.lit(False))
-    return line.df.withColumns(
-        {"held_bend": F.when(held, before[bend]).otherwise(F.col(bend)), "pre_bend": held | again}
-    ).drop("_k", "_b")
+    """Bends held over ties: a tied note keeps the bend in force unless the note before it released it.
+
+    A bent tie goes on with the bend in force (``pre_bend``), if there is one: a tie that neither bends nor holds ends it.
+    """
+    line = ordered(notes, keys, [order]).add(_pr=lag(release))
+    ended = F.coalesce("_pr", F.lit(True))
+    own = F.when(~F.col(tie) | (F.col(bend) > 0), F.col(bend)).when(ended, F.lit(0))
+    line = line.with_columns(_k=own).add(_b=fill("_k", before=True))
+    going = F.coalesce(F.col(tie) & (F.col("_b") > 0), F.lit(False))
+    held = going & (F.col(bend) == 0) & ~ended
+    again = going & (F.col(bend) > 0)
+    return line.df.withColumns({"held_bend": F.when(held, F.col("_b")).otherwise(F.col(bend)), "pre_bend": held | again}).drop("_k", "_b", "_pr")
 
 
 def carry_forward(

@@ -128,8 +128,8 @@ def between_pair(spark, folder):
 
 @query(
     "isolated_marks",
-    f"""with g as ({GLYPH_SQL}), t as (select *, lag(x1) over w as l, lead(x0) over w as r from g window w as (partition by l_orderkey order by x0, gid))
-    select l_orderkey, gid from t where not coalesce((x0 - l >= 0 and x0 - l < 0.5 * (x1 - x0)) or (r - x1 >= 0 and r - x1 < 0.5 * (x1 - x0)), false)""",
+    f"""with g as ({GLYPH_SQL}) select l_orderkey, gid from g where not exists (select 1 from g o where o.l_orderkey = g.l_orderkey and o.gid <> g.gid
+      and ((o.x0 - g.x1 >= 0 and o.x0 - g.x1 < 0.5 * (g.x1 - g.x0)) or (g.x0 - o.x1 >= 0 and g.x0 - o.x1 < 0.5 * (g.x1 - g.x0))))""",
 )
 def isolated_marks(spark, folder):
     return A.isolated(glyphs(spark, folder), PAGE, "x0", "x1", "gid").select("l_orderkey", "gid")

@@ -281,8 +281,7 @@ def resolve_links(spark, folder):
       select n.l_orderkey, n.string, n.item, n.rn,
         case when n.tie and f.cur > 0 and not f.rel and n.bend = 0 then f.cur else n.bend end,
         n.tie and f.cur > 0 and ((n.bend = 0 and not f.rel) or n.bend > 0),
-        case when n.tie and n.bend = 0 and not n.released then f.cur else n.bend end,
-        case when n.tie and n.bend = 0 and not n.released then f.rel else n.released end
+        case when n.tie and n.bend = 0 then case when f.rel then 0 else f.cur end else n.bend end, n.released
       from f join n on n.l_orderkey = f.l_orderkey and n.string = f.string and n.rn = f.rn + 1)
     select l_orderkey, string, item, held as held_bend, pre as pre_bend from f""",
 )

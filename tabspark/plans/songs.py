@@ -199,7 +199,9 @@ def review_bars(spark, folder):
 @query(
     "place_lyrics",
     f"""with e as ({EVENTS_SQL}), b as (select *, row_number() over w as bar, value as start, lead(value) over w as "end" from e where event_type = 'purchase' window w as (partition by user_id order by value, event_id)),
-    m as (select * from e where event_type = 'view'), j as (select m.event_id, m.value, max_by(b, b.bar) as b from m left join b on b.user_id = m.user_id and b.start <= m.value and b.end is not null group by 1, 2)
+    m as (select * from e where event_type = 'view'), f as (select user_id, min_by(b, b.bar) as b from b where b.end is not null group by 1),
+    j0 as (select m.event_id, m.user_id, m.value, max_by(b, b.bar) as b from m left join b on b.user_id = m.user_id and b.start <= m.value and b.end is not null group by 1, 2, 3),
+    j as (select event_id, value, case when j0.b is null then f.b else j0.b end as b from j0 left join f using (user_id))
     select event_id, b.bar as bar, round(case when b.end > b.start then least(greatest((value - b.start) / (b.end - b.start), 0), 1) else 0 end, 6) as place from j""",
 )
 def place_lyrics(spark, folder):
@@ -253,16 +255,17 @@ def assign_lyrics(spark, folder):
 
 @query(
     "syllable_track",
-    f"""with i as (select l_orderkey, item // 5 as bar, item, (item % 5) / 5.0::double as place from ({ITEMS_SQL}) where l_partkey % 3 > 0),
+    f"""with i as (select l_orderkey, item // 5 as bar, item, (item % 5) / 5.0::double as place from ({ITEMS_SQL})),
     n as (select *, row_number() over w as i, count(*) over (partition by l_orderkey, bar) as n from i window w as (partition by l_orderkey, bar order by place, item)),
-    g as (select *, case when n <= 4 then 2 else 1 end as g from n), q as (select *, least(8 - g, round_even(place * 8 / g, 0) * g) as q from g),
+    g as (select *, case when n <= 2 then 2 else 1 end as g from n), q as (select *, least(4 - g, round_even(place * 4 / g, 0) * g) as q from g),
     o as (select *, cast(max(q - i * g) over (partition by l_orderkey, bar order by i) + i * g as int) as onset from q),
-    z as (select *, coalesce(lead(onset) over (partition by l_orderkey, bar order by i), 8) - onset as rest from o where onset < 8)
-    select l_orderkey, bar, item, onset, case when rest >= 8 then 8 when rest >= 6 then 6 when rest >= 4 then 4 when rest >= 3 then 3 when rest >= 2 then 2 else 1 end as length from z""",
+    t as (select *, max(onset) filter (onset < 4) over (partition by l_orderkey, bar) as top, lead(onset) over (partition by l_orderkey, bar order by i) as nx from o),
+    z as (select l_orderkey, bar, item, least(onset, top) as onset, case when onset < top then nx else 4 end - least(onset, top) as rest from t)
+    select l_orderkey, bar, item, onset, case when rest >= 4 then 4 when rest >= 3 then 3 when rest >= 2 then 2 else 1 end as length from z""",
 )
 def syllable_track(spark, folder):
-    s = items(spark, folder).where("l_partkey % 3 > 0").selectExpr("l_orderkey", "item div 5 as bar", "item", "(item % 5) / 5.0D as place")
-    return Y.syllable_track(s, ["l_orderkey", "bar"], ["place", "item"], "place", 8).select("l_orderkey", "bar", "item", "onset", "length")
+    s = items(spark, folder).selectExpr("l_orderkey", "item div 5 as bar", "item", "(item % 5) / 5.0D as place")
+    return Y.syllable_track(s, ["l_orderkey", "bar"], ["place", "item"], "place", 4).select("l_orderkey", "bar", "item", "onset", "length")
 
 
 @query(

@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import pytest
 
+from tabspark.operators import attach as A
 from tabspark.operators import layout as L
 from tabspark.operators import lyrics as Y
 from tabspark.operators import rhythm as R
@@ -84,3 +85,42 @@ def test_triplets_fill_bars(spark, split):
         spark.conf.unset("spark.tabspark.splitRows")
     want = [(k, b, int(3 * at), i, u, three, tie) for k, items in lengths.items() for b, at, i, u, three, tie in bars_of(items, 32)]
     assert sorted(map(repr, ((r.k, r.bar, r.at3, r.item, r.units, r.tuplet, r.tie) for r in got))) == sorted(map(repr, want))
+
+
+def test_isolated_glyphs_overlap(spark, chunks):
+    rows = [(1, 0, 0.0, 10.0), (1, 1, 1.0, 2.0), (1, 2, 10.2, 12.2), (1, 3, 40.0, 44.0), (1, 4, 46.5, 47.0), (2, 0, 5.0, 6.0)]
+    got = A.isolated(spark.createDataFrame(rows, "line int, gid long, x0 double, x1 double"), ["line"], "x0", "x1", "gid")
+    assert sorted((r.line, r.gid) for r in got.collect()) == [(1, 1), (1, 3), (1, 4), (2, 0)]
+
+
+@pytest.mark.parametrize("split", [None, "11"])
+def test_bends_over_ties(spark, split):
+    rnd = random.Random(3)
+    rows = [(k, i, rnd.random() < 0.7, rnd.choice([0, 0, 0, 2, 4]), rnd.random() < 0.3) for k in range(12) for i in range(30)]
+    rows += [(99, 0, False, 2, True), (99, 1, True, 0, False), (99, 2, True, 2, False)]
+    if split:
+        spark.conf.set("spark.tabspark.splitRows", split)
+    try:
+        df = spark.createDataFrame(rows, "k int, i long, tie boolean, bend int, rel boolean")
+        got = {(r.k, r.i): (r.held_bend, r.pre_bend) for r in R.hold_bends(df, ["k"], "i", "tie", "bend", "rel").collect()}
+    finally:
+        spark.conf.unset("spark.tabspark.splitRows")
+    want, key, last = {}, None, None
+    for k, i, tie, bend, rel in rows:
+        last = last if k == key else (0, False)
+        key, pre = k, False
+        if tie and last[0]:
+            pre = bend > 0 or not last[1]
+            bend = bend or (0 if last[1] else last[0])
+        want[k, i], last = (bend, pre), (bend, rel)
+    assert got == want and got[99, 2] == (2, False)
+
+
+def test_syllables_stay(spark):
+    bars = spark.createDataFrame([(1, 0, 10.0, 20.0), (1, 1, 20.0, 40.0)], "song int, bar long, start double, end double")
+    marks = spark.createDataFrame([(1, 0, 4.0), (1, 1, 15.0), (1, 2, 50.0), (2, 3, 1.0)], "song int, mid long, x double")
+    got = Y.place_lyrics(marks, bars, ["song"], "x", "mid", "bar").orderBy("mid").collect()
+    assert [(r.bar, r.place) for r in got] == [(0, 0.0), (0, 0.5), (1, 1.0), (None, 0.0)]
+    dense = spark.createDataFrame([(1, i, i / 12) for i in range(12)], "bar int, i long, place double")
+    got = Y.syllable_track(dense, ["bar"], ["place", "i"], "place", 8).orderBy("i").collect()
+    assert len(got) == 12 and [r.onset for r in got] == [*range(8), 7, 7, 7, 7] and all(r.length == 1 for r in got)
