@@ -106,24 +106,47 @@ def validate_bundle(manifest: DataFrame, files: DataFrame, bundle: str, folder:
 
 
 SETTING_GROUPS = ("audio", "video")  # fixed values
-MAX_SETTINGS = 64 * 1024
+SCALARS = ("STRING", "BOOLEAN", "BIGINT", "DECIMAL", "DOUBLE")  # what a setting may be, as types of variants
 
 
-def clean_settings(df: DataFrame, settings: str) -> DataFrame:
-    """Song settings kept: two groups of at most 20 texts, numbers and true / false, cut short; nothing when over 64 kB."""
+def clean_settings(
+    df: DataFrame, settings: str, entries: int | None = None, name_letters: int | None = None, text_letters: int | None = None, json_letters: int | None = None
+) -> DataFrame:
+    """Song settings kept, as text: two groups of texts, finite numbers and true / false, told by their types and not by their text.
+
+    Nested values, nulls and non-finite numbers go, and groups that are no objects; a name that is there twice keeps its last value.
+    Limits are off unless given: so many first entries of a group, letters of a name and of a text, and letters of the
+    JSON form of both groups, beyond which nothing is kept.
+    """
+    none = F.create_map().cast("map<string,string>")
 
     def group(name: str) -> Column:
-        entries = F.from_json(F.get_json_object(settings, f"$.{name}"), "map<string,string>")
-        pairs = F.slice(F.map_entries(entries), 1, 20)
-        scalar = F.filter(pairs, lambda p: p["value"].isNotNull() & ~p["value"].rlike(r"^\s*[\[{]") & ~p["value"].isin("NaN", "Infinity", "-Infinity"))
-        short = F.transform(scalar, lambda p: F.struct(F.left(p["key"], F.lit(40)).alias("key"), F.left(p["value"], F.lit(2000)).alias("value")))
-        return F.map_from_entries(F.reduce(short, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, p: F.concat(F.filter(acc, lambda q: q["key"] != p["key"]), F.array(p))))
+        pairs = F.map_entries(F.from_json(F.get_json_object(settings, f"$.{name}"), "map<string,variant>"))
+        if entries is not None:
+            pairs = F.slice(pairs, 1, entries)
+        typed = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), F.schema_of_variant(p["value"]).alias("type"), p["value"].cast("string").alias("value")))
+
+        def fits(p: Column) -> Column:
+            number = F.regexp_extract(p["type"], "^[A-Z]+", 0).isin("BIGINT", "DECIMAL", "DOUBLE")
+            return p["value"].isNotNull() & F.regexp_extract(p["type"], "^[A-Z]+", 0).isin(*SCALARS) & ~(number & p["value"].isin("NaN", "Infinity", "-Infinity"))
+
+        def cut(c: Column, letters: int | None) -> Column:
+            return c if letters is None else F.left(c, F.lit(letters))
+
+        def short(p: Column) -> Column:
+            text = F.when(p["type"] == "STRING", cut(p["value"], text_letters)).otherwise(p["value"])
+            return F.struct(cut(p["key"], name_letters).alias("key"), text.alias("value"))
+
+        kept = F.transform(F.filter(typed, fits), short)
+        start = F.array().cast("array<struct<key:string,value:string>>")
+        return F.map_from_entries(F.reduce(kept, start, lambda acc, p: F.concat(F.filter(acc, lambda q: q["key"] != p["key"]), F.array(p))))
 
-    kept = {f"{name}_settings": F.coalesce(group(name), F.create_map().cast("map<string,string>")) for name in SETTING_GROUPS}
+    kept = {f"{name}_settings": F.coalesce(group(name), none) for name in SETTING_GROUPS}
     out = df.withColumns(kept)
+    if json_letters is None:
+        return out
     size = reduce(lambda a, b: a + b, [F.length(F.to_json(c)) for c in kept])
-    empty = F.create_map().cast("map<string,string>")
-    return out.withColumns({c: F.when(size <= MAX_SETTINGS, F.col(c)).otherwise(empty) for c in kept})
+    return out.withColumns({c: F.when(size <= json_letters, F.col(c)).otherwise(none) for c in kept})
 
 
 def set_files(catalog: DataFrame, changes: DataFrame, key: str, kind: str, entry: str, order: str) -> DataFrame:

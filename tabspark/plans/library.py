@@ -382,17 +382,18 @@ def validate_bundle(spark, folder):
 
 @query(
     "clean_settings",
-    """select event_id, case when event_id % 3 = 0 then '' else cast(json_extract(props, '$.k') as varchar) end as tempo, event_type as label, 0 as others from events""",
+    """select event_id, case when event_id % 3 = 0 then '' else cast(json_extract(props, '$.k') as varchar) end as tempo, '[' || event_type || ']' as label, 'NaN' as "offset", 1 as others from events""",
 )
 def clean_settings(spark, folder):
     made = F.expr(
-        "concat('{\"audio\": {\"offset\": \"NaN\", ', if(event_id % 3 = 0, '', concat('\"tempo\": ', get_json_object(props, '$.k'), ', ')), '\"label\": \"', event_type, '\", \"x\": {\"y\": 1}, \"n\": null}, \"other\": {\"a\": 1}, \"video\": 5}')"
+        "concat('{\"audio\": {\"offset\": \"NaN\", ', if(event_id % 3 = 0, '', concat('\"tempo\": ', get_json_object(props, '$.k'), ', ')), '\"label\": \"[', event_type, ']\", \"x\": {\"y\": 1}, \"z\": [1], \"on\": true, \"n\": null}, \"other\": {\"a\": 1}, \"video\": 5}')"
     )
     found = C.clean_settings(events(spark, folder).withColumn("settings", made), "settings")
     a = F.col("audio_settings")
     return found.select(
         "event_id", F.coalesce(F.try_element_at(a, F.lit("tempo")), F.lit("")).alias("tempo"), F.try_element_at(a, F.lit("label")).alias("label"),
-        (F.size(F.map_filter(a, lambda k, v: ~k.isin("tempo", "label"))) + F.size("video_settings")).alias("others"),
+        F.try_element_at(a, F.lit("offset")).alias("offset"),
+        (F.size(F.map_filter(a, lambda k, v: ~k.isin("tempo", "label", "offset"))) + F.size("video_settings")).alias("others"),
     )
 
 

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from tabspark.operators import catalog as C
 from tabspark.operators import edits as E
 
 SONG = ["song", "track"]
@@ -197,3 +198,14 @@ def test_length_requests_against_a_loop(spark, split):
     for r in sorted(got, key=lambda r: (r.song, r.bar, r.beat)):
         made.setdefault((r.song, r.bar), []).append((r.ticks, r.rest))
     assert made == bars
+
+
+def test_settings_are_judged_by_type(spark):
+    text = '{"audio": {"a": "NaN", "b": "[Chorus]", "c": 1.5, "d": true, "e": [1], "f": {"x": 1}, "g": null, "h": "{not nested", "i": -3, "a": "later"}, "video": {"v": "%s"}, "other": {"z": 1}}'
+    rows = [(0, text % ("w" * 3000)), (1, "not json"), (2, None), (3, '{"audio": 5}'), (4, '{"audio": {%s}}' % ", ".join(f'"k{i}": {i}' for i in range(30)))]
+    df = spark.createDataFrame(rows, "id int, settings string")
+    got = {r.id: (r.audio_settings, r.video_settings) for r in C.clean_settings(df, "settings").collect()}
+    assert got[0] == ({"a": "later", "b": "[Chorus]", "c": "1.5", "d": "true", "h": "{not nested", "i": "-3"}, {"v": "w" * 3000})
+    assert got[1] == got[2] == got[3] == ({}, {}) and len(got[4][0]) == 30
+    cut = {r.id: (r.audio_settings, r.video_settings) for r in C.clean_settings(df, "settings", 20, 40, 2000, 1000).collect()}
+    assert cut[0] == ({}, {}) and len(cut[4][0]) == 20
