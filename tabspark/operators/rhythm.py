@@ -173,19 +173,26 @@ def pack_triplet_bars(items: DataFrame, keys: Sequence[str], order: str, units:
 
 
 def _in_proportion(line: Ordered, x: str, origin: str, end: str, units: int, name: str) -> Ordered:
-    """Proportional onsets of numbered (_i of _n) points: pushed right to stay apart, then kept inside the bar."""
+    """Proportional onsets of numbered (_i of _n) points: pushed right to stay apart, then kept inside the bar.
+
+    More points than slots are 32nds one after another, which go on over the bar line.
+    """
     grid = F.when(F.col("_n") * 2 <= units, 2).otherwise(1)
     span = F.when(F.col(end) > F.col(origin), F.col(end) - F.col(origin)).otherwise(1.0)
     q = F.rint((F.col(x) - F.col(origin)) / span * units / grid) * grid
     q = F.least(F.greatest(q, F.lit(0)), units - grid)
     line = line.with_columns(_g=grid, _free=q - F.col("_i") * grid).add(_push=running_max("_free"))
     pushed = F.col("_push") + F.col("_i") * F.col("_g")
-    onset = F.least(pushed, units - (F.col("_n") - F.col("_i") + 1) * F.col("_g")).cast("int")
+    inside = F.least(pushed, units - (F.col("_n") - F.col("_i") + 1) * F.col("_g"))
+    onset = F.when(F.col("_n") > units, F.col("_i") - 1).otherwise(inside).cast("int")
     return line.with_columns(**{name: onset}).map(lambda d: d.drop("_g", "_free", "_push"))
 
 
 def snap_fallback(points: DataFrame, keys: Sequence[str], x: str, tie: str, origin: str, end: str, units: int) -> DataFrame:
-    """Onsets in proportion to the bar's width, pushed right to stay apart, then kept inside the bar."""
+    """Onsets in proportion to the bar's width, pushed right to stay apart, then kept inside the bar.
+
+    A bar with more points than slots gives 32nds one after another: onsets from ``units`` on lie in the bars after it.
+    """
     line = ordered(points, keys, [x, tie]).add(_i=number(), _n=total_count())
     return _in_proportion(line, x, origin, end, units, "onset").df.drop("_i", "_n")
 
@@ -197,7 +204,7 @@ def quantize(points: DataFrame, keys: Sequence[str], x: str, tie: str, origin: s
     """Strictly increasing onsets of each bar's points, by the candidate scale of least cost.
 
     A gap is taken for 1 to 8 grid steps; a scale must put every point within a quarter step of the grid.
-    Bars no scale fits, or holding more points than slots, are placed in proportion.
+    Bars no scale fits are placed in proportion; with more points than slots they are 32nds over the bar line.
     """
     line = ordered(points, keys, [x, tie]).add(_i=number(), _n=total_count())
     few = line.df.where(F.col("_n") <= units)  # at most `units` points in one array

@@ -128,21 +128,23 @@ def points(spark, folder):
     )
 
 
-FALLBACK_SQL = f"""p as ({POINTS_SQL}), p1 as (select *, row_number() over w as i, count(*) over (partition by user_id, day) as n from p window w as (partition by user_id, day order by x, event_id)),
-  p2 as (select *, case when n * 2 <= 32 then 2 else 1 end as g from p1), p3 as (select *, least(greatest(round_even((x - origin) / ("end" - origin) * 32 / g, 0) * g, 0), 32 - g) as q from p2),
+def fallback_sql(slots):
+    """Points in proportion, in a bar of so many slots; more points than slots are 32nds one after another."""
+    return f"""p as ({POINTS_SQL}), p1 as (select *, row_number() over w as i, count(*) over (partition by user_id, day) as n from p window w as (partition by user_id, day order by x, event_id)),
+  p2 as (select *, case when n * 2 <= {slots} then 2 else 1 end as g from p1), p3 as (select *, least(greatest(round_even((x - origin) / ("end" - origin) * {slots} / g, 0) * g, 0), {slots} - g) as q from p2),
   p4 as (select *, max(q - i * g) over (partition by user_id, day order by i) + i * g as pushed from p3),
-  fb as (select *, cast(least(pushed, 32 - (n - i + 1) * g) as int) as fallback from p4)"""
+  fb as (select *, cast(case when n > {slots} then i - 1 else least(pushed, {slots} - (n - i + 1) * g) end as int) as fallback from p4)"""
 
 
-@query("snap_fallback", f"with {FALLBACK_SQL} select user_id, day, event_id, fallback as onset from fb")
+@query("snap_fallback", f"with {fallback_sql(4)} select user_id, day, event_id, fallback as onset from fb")
 def snap_fallback(spark, folder):
-    found = R.snap_fallback(points(spark, folder), ["user_id", "day"], "x", "event_id", "origin", "end", 32)
+    found = R.snap_fallback(points(spark, folder), ["user_id", "day"], "x", "event_id", "origin", "end", 4)
     return found.select("user_id", "day", "event_id", "onset")
 
 
 @query(
     "quantize_onsets",
-    f"""with {FALLBACK_SQL}, gp as (select user_id, day, x - lag(x) over (partition by user_id, day order by i) as gap from fb),
+    f"""with {fallback_sql(32)}, gp as (select user_id, day, x - lag(x) over (partition by user_id, day order by i) as gap from fb),
     b as (select user_id, day, n, list(x order by i) as xs from fb group by 1, 2, 3),
     gr(g, pen) as (values (4, 0.0::double), (2, 0.05::double), (1, 0.12::double)),
     s as (select distinct user_id, day, g, pen, s from (select user_id, day, g, pen, 32 / 1440.0::double as s from b, gr where n * g <= 32 union all

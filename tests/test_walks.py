@@ -124,3 +124,11 @@ def test_syllables_stay(spark):
     dense = spark.createDataFrame([(1, i, i / 12) for i in range(12)], "bar int, i long, place double")
     got = Y.syllable_track(dense, ["bar"], ["place", "i"], "place", 8).orderBy("i").collect()
     assert len(got) == 12 and [r.onset for r in got] == [*range(8), 7, 7, 7, 7] and all(r.length == 1 for r in got)
+
+
+def test_dense_bars_go_on_over_the_bar_line(spark):
+    rows = [(1, i, 2.5 * i) for i in range(40)] + [(2, i, 3.0 * i) for i in range(32)]
+    df = spark.createDataFrame(rows, "bar int, i long, x double").selectExpr("*", "0.0D as x0", "100.0D as x1")
+    for found in (R.snap_fallback(df, ["bar"], "x", "i", "x0", "x1", 32), R.quantize(df, ["bar"], "x", "i", "x0", "x1", 32)):
+        got = {(r.bar, r.i): r.onset for r in found.collect()}
+        assert [got[1, i] for i in range(40)] == [*range(40)] and [got[2, i] for i in range(32)] == [*range(32)]
