@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.asof import asof, back_to_points, close_pairs, covered, merged, nearest
-from ..functions.ordered import fill, fill_back, lag, lead, ordered, running_max, running_sum, total_sum
+from ..functions.ordered import fill, fill_back, lag, lead, meet, ordered, running_max, running_sum, total_sum
 from .layout import anchored_groups
 
 
@@ -222,19 +222,29 @@ def bends(
 def tie_arcs(notes: DataFrame, arcs: DataFrame, keys: Sequence[str], page_keys: Sequence[str], spacing: float) -> DataFrame:
     """Whether an arc arrives at each parenthesised note; null on pages that draw no arcs at all.
 
-    Notes ``nid, x, parenthesized``; arcs ``aid, x0, x1`` of the same string. The arc must end just before the
-    note and begin after the string's previous note, so the latest beginning among the arcs ending there decides.
+    Notes ``nid, x, parenthesized, left`` (where their staff begins); arcs ``aid, x0, x1`` of the same string. The arc
+    must be wider than a space, end just before the note and begin after the string's previous note (one more than half a
+    space before it), so the latest beginning among the arcs ending there decides. A line's first note also takes the
+    stub of a tie from the line above: a fifth of a space or more, from near the staff's beginning on.
     """
-    line = ordered(notes, keys, ["x", "nid"]).add(_prev=lag("x"))
-    points = line.df.select(*keys, "nid", "x", "parenthesized", (F.col("_prev") - 1.5 * spacing).alias("_start"))
-    both = points.select(*keys, F.col("x").alias("_at"), F.lit(None).cast("double").alias("_b"), F.struct(*points.columns).alias("_row")).unionByName(
-        arcs.where(F.col("x1") - F.col("x0") > 0.2 * spacing).select(
-            *keys, F.col("x1").alias("_at"), F.col("x0").alias("_b"), F.lit(None).cast(f"struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in points.schema.fields)}>").alias("_row")
-        )
+    earlier = notes.select(*keys, F.col("nid").alias("_id"), F.col("x").alias("_x"))
+    line = merged(notes, earlier, keys, F.col("x") - 0.5 * spacing, "nid", F.col("_x"), "_id", marks_first=False).add(_p=fill("_mark"))
+    points = back_to_points(line, notes, _prev=F.col("_p")["_x"])
+    first = F.coalesce("_prev", F.col("left") - spacing) - 1.5 * spacing
+    points = points.select(*keys, "nid", "x", "parenthesized", first.alias("_start"), F.col("_prev").isNull().alias("_opens"))
+    wide = F.col("x1") - F.col("x0")
+    stub = (wide > 0.2 * spacing) & (F.col("x0") <= F.col("_left") + 2 * spacing)
+    ends = meet(arcs, notes.groupBy(*keys).agg(F.min("left").alias("_left")), keys).where((wide > spacing) | stub)
+    row = f"struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in points.schema.fields)}>"
+    both = points.select(
+        *keys, F.col("x").alias("_at"), F.lit(None).cast("double").alias("_b"), F.lit(None).cast("double").alias("_s"), F.struct(*points.columns).alias("_row")
+    ).unionByName(
+        ends.select(*keys, F.col("x1").alias("_at"), F.when(wide > spacing, F.col("x0")).alias("_b"), F.col("x0").alias("_s"), F.lit(None).cast(row).alias("_row"))
     )
-    near = ordered(both, keys, ["_at"]).ranged(-2.5 * spacing, 0.3 * spacing, _late="max(_b)")
-    seen = near.where(F.col("_row").isNotNull()).select("_row.*", "_late")
-    seen = seen.withColumn("_arc", F.coalesce(F.col("_late") >= F.coalesce("_start", F.lit(float("-inf"))), F.lit(False)))
+    near = ordered(both, keys, ["_at"]).ranged(-2.5 * spacing, 0.3 * spacing, _late="max(_b)", _stub="max(_s)")
+    seen = near.where(F.col("_row").isNotNull()).select("_row.*", "_late", "_stub")
+    arrives = (F.col("_late") >= F.col("_start")) | (F.col("_opens") & (F.col("_stub") >= F.col("_start")))
+    seen = seen.withColumn("_arc", F.coalesce(arrives, F.lit(False)))
     pages = seen.where("parenthesized").groupBy(*page_keys).agg(F.max("_arc").alias("_any"))
     out = seen.join(pages, list(page_keys), "left").where("parenthesized")
     return out.select(*keys, "nid", F.when(F.col("_any"), F.col("_arc")).alias("tie_arc"))

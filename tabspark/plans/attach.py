@@ -207,17 +207,17 @@ def bends(spark, folder):
 
 @query(
     "tie_arcs",
-    f"""with g as (select *, gid * 3.0 as x from ({GLYPH_SQL})), n as (select *, fret % 4 = 0 as par, lag(x) over (partition by l_orderkey, string order by x, gid) - 3 as st from g),
-    ar as (select l_orderkey, string, x - 6 as a0, x - units % 3 as a1 from g where units % 3 > 0),
-    t as (select n.l_orderkey, n.string, n.gid, exists (select 1 from ar where ar.l_orderkey = n.l_orderkey and ar.string = n.string and a1 - a0 > 0.4
-      and n.x - 5 <= a1 and a1 <= n.x + 0.6 and (st is null or a0 >= st)) as arc from n where par),
+    f"""with g as (select *, gid * 3.0 as x from ({GLYPH_SQL})), n0 as (select *, fret % 4 = 0 as par, (select max(o.x) from g o where o.l_orderkey = g.l_orderkey and o.string = g.string and o.x < g.x - 1) as prev from g),
+    n as (select *, coalesce(prev, 4.0 - 2) - 3 as st from n0), ar as (select l_orderkey, string, x - case when fret % 5 = 0 then units % 3 + 1.5 else 6 end as a0, x - units % 3 as a1 from g where units % 3 > 0),
+    t as (select n.l_orderkey, n.string, n.gid, exists (select 1 from ar where ar.l_orderkey = n.l_orderkey and ar.string = n.string and (a1 - a0 > 2 or (prev is null and a1 - a0 > 0.4 and a0 <= 8))
+      and n.x - 5 <= a1 and a1 <= n.x + 0.6 and a0 >= st) as arc from n where par),
     p as (select l_orderkey, bool_or(arc) as anyarc from t group by 1)
     select t.l_orderkey, string, gid as nid, case when anyarc then arc end as tie_arc from t join p using (l_orderkey)""",
 )
 def tie_arcs(spark, folder):
     g = glyphs(spark, folder).withColumn("x", F.col("gid") * 3.0)
-    notes = g.selectExpr("l_orderkey", "string", "gid as nid", "x", "fret % 4 = 0 as parenthesized")
-    arcs = g.where("units % 3 > 0").selectExpr("l_orderkey", "string", "gid as aid", "x - 6 as x0", "x - units % 3 as x1")
+    notes = g.selectExpr("l_orderkey", "string", "gid as nid", "x", "fret % 4 = 0 as parenthesized", "4.0D as left")
+    arcs = g.where("units % 3 > 0").selectExpr("l_orderkey", "string", "gid as aid", "x - if(fret % 5 = 0, units % 3 + 1.5D, 6.0D) as x0", "x - units % 3 as x1")
     return A.tie_arcs(notes, arcs, STRING, PAGE, 2.0)
 
 
