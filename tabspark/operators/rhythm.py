@@ -260,14 +260,28 @@ def quantize(points: DataFrame, keys: Sequence[str], x: str, tie: str, origin: s
     return placed_all.select(*points.columns, onset.alias("onset"))
 
 
-def choose_rhythm(columns: DataFrame, keys: Sequence[str], order: str, notated3: str, estimated: str, units: int) -> DataFrame:
-    """Notated lengths where they fill the bar (key) exactly, else the estimated ones."""
+def choose_rhythm(
+    columns: DataFrame, keys: Sequence[str], order: str, notated3: str, estimated: str, units: int, bare: Column | None = None
+) -> DataFrame:
+    """Notated lengths where they fill the bar (key) exactly, else the estimated ones.
+
+    ``bare`` holds where a line prints no rhythm although its part does: a bar with one note and no length there is a whole
+    bar, which counts as notated. An estimated bar with more notes than it has 32nds gives each a 32nd (``crowded``).
+    """
     line = ordered(columns, keys, [order]).add(
-        _sum=total_sum(notated3), _missing=total_sum(F.col(notated3).isNull().cast("int"))
+        _sum=total_sum(notated3), _missing=total_sum(F.col(notated3).isNull().cast("int")), _n=total_count()
     )
     exact = (F.col("_missing") == 0) & (F.col("_sum") == units * 3)
-    chosen = F.when(exact, F.col(notated3)).otherwise(F.col(estimated) * 3)
-    return line.df.withColumns({"len3": chosen, "estimated": ~exact}).drop("_sum", "_missing")
+    lone = F.coalesce((F.col("_n") == 1) & (F.col("_missing") == 1) & bare, F.lit(False)) if bare is not None else F.lit(False)
+    crowded = ~exact & ~lone & (F.col("_n") > units)
+    chosen = F.when(exact, F.col(notated3)).when(lone, units * 3).when(crowded, 3).otherwise(F.col(estimated) * 3)
+    return line.df.withColumns({"len3": chosen, "estimated": ~exact & ~lone, "crowded": crowded}).drop("_sum", "_missing", "_n")
+
+
+def rhythm_counters(chosen: DataFrame, part: Sequence[str], bar: Sequence[str]) -> DataFrame:
+    """Bars with notes of each part whose lengths were notated, and estimated."""
+    bars = chosen.groupBy(*part, *bar).agg(F.bool_or("estimated").alias("_e"))
+    return bars.groupBy(*part).agg(F.count_if(~F.col("_e")).alias("notated"), F.count_if("_e").alias("estimated"))
 
 
 def expand_rest_bars(bars: DataFrame, keys: Sequence[str], order: str, number_: str, empty: Column, printed: Column) -> DataFrame:

@@ -162,18 +162,32 @@ def quantize_onsets(spark, folder):
     return found.select("user_id", "day", "event_id", "onset")
 
 
-@query(
-    "choose_rhythm",
-    f"""with i as (select *, item // 4 as bar, case when l_partkey % 10 > 0 then (8 + l_suppkey % 2) * 3 end as n3 from ({ITEMS_SQL})),
-    s as (select l_orderkey, bar, sum(n3) = 96 and count(*) = count(n3) as exact from i group by 1, 2)
-    select i.l_orderkey, i.bar, item, cast(case when exact then n3 else units * 3 end as int) as len3, not coalesce(exact, false) as estimated from i join s on s.l_orderkey = i.l_orderkey and s.bar = i.bar""",
-)
-def choose_rhythm(spark, folder):
+# Bars of up to four items and three 32nds; a fifth of the orders print no rhythm.
+CHOICE_SQL = f"""i as (select *, item // 4 as bar, case when l_partkey % 10 > 0 and l_orderkey % 5 > 0 then (1 + l_suppkey % 2) * 3 end as n3 from ({ITEMS_SQL})),
+    s as (select l_orderkey, bar, sum(n3) = 9 and count(*) = count(n3) as exact, count(*) = 1 and count(n3) = 0 and bool_or(l_suppkey % 2 = 0) as lone, count(*) > 3 as many from i group by 1, 2),
+    c as (select i.l_orderkey, i.bar, item, cast(case when exact then n3 when lone then 9 when many then 3 else units * 3 end as int) as len3, not coalesce(exact, false) and not lone as estimated,
+      not coalesce(exact, false) and not lone and many as crowded from i join s on s.l_orderkey = i.l_orderkey and s.bar = i.bar)"""
+
+
+def rhythm_choices(spark, folder):
     rows = items(spark, folder).selectExpr(
-        "l_orderkey", "item", "item div 4 as bar", "units", "cast(if(l_partkey % 10 > 0, (8 + l_suppkey % 2) * 3, null) as int) as n3"
+        "l_orderkey", "item", "item div 4 as bar", "units", "l_suppkey % 2 = 0 as bare", "cast(if(l_partkey % 10 > 0 and l_orderkey % 5 > 0, (1 + l_suppkey % 2) * 3, null) as int) as n3"
     )
-    found = R.choose_rhythm(rows, ["l_orderkey", "bar"], "item", "n3", "units", 32)
-    return found.select("l_orderkey", "bar", "item", F.col("len3").cast("int").alias("len3"), F.coalesce("estimated", F.lit(True)).alias("estimated"))
+    found = R.choose_rhythm(rows, ["l_orderkey", "bar"], "item", "n3", "units", 3, F.col("bare"))
+    return found.select("l_orderkey", "bar", "item", F.col("len3").cast("int").alias("len3"), F.coalesce("estimated", F.lit(True)).alias("estimated"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
+
+
+@query("choose_rhythm", f"with {CHOICE_SQL} select * from c")
+def choose_rhythm(spark, folder):
+    return rhythm_choices(spark, folder)
+
+
+@query(
+    "rhythm_counters",
+    f"with {CHOICE_SQL}, b as (select l_orderkey, bar, bool_or(estimated) as e from c group by 1, 2) select l_orderkey, count(*) filter (not e) as notated, count(*) filter (e) as estimated from b group by 1",
+)
+def rhythm_counters(spark, folder):
+    return R.rhythm_counters(rhythm_choices(spark, folder), ORDER, ["bar"])
 
 
 PRINTED_SQL = f"""pb as (select *, bar * 2 + 1 + case when o_orderkey % 9 = 0 then 1 else 0 end as num, o_orderstatus = 'F' as empty,
