@@ -3,14 +3,19 @@
 A document is its set of distinct word shingles. Each of ``registers`` registers holds the smallest of an exponential
 variable over the set on a logarithmic scale, truncated to 16 bits: registers of unions are maxima (``merge``), and two
 registers are equal with about the Jaccard similarity as probability. Documents with equal sets form a class; classes
-that share the register values of a band meet in a bucket. No bucket is expanded into its pairs: its members are
-compared with a few hubs, verified links join components, and as long as a bucket holds several components, members
-outside its largest one become the next hubs, until every pair of different components has been tested. Candidates
-whose likelihood estimate (sizes known) is far below the threshold are dropped; all others are confirmed on full sets.
-With the default 20 bands of 5 registers a pair at 0.85 is missed with probability 8e-6.
+that share the register values of a band meet in a bucket. Buckets with the same members count once.
+
+A bucket is cut into blocks of about ``BLOCK`` members, and a task holds one block, or two, at a time. First every block
+is compared with itself and with a few anchors, which are in all blocks of the bucket. Then, in buckets of several
+blocks, the members outside the bucket's largest component, in blocks of their own, meet every block. So each pair of
+different components that shares a bucket is compared, once, in the first bucket it shares. Inside a block the
+likelihood estimate (sizes known) only sets the order, likely partners first; every pair that is not joined yet is
+then confirmed or refused on full sets, and only the links that join components leave the task. With the default
+20 bands of 5 registers a pair at 0.85 is missed with probability 8e-6.
 
 Null and empty texts have empty sets and link with nothing. A null id takes the component of its class if there is one.
-Rows that share an id are one item. Repeated rows are one class. Other columns are not read.
+Rows that share an id are one item. Repeated rows are one class. Other columns are not read. The set of a very long text
+is made as a whole, by one task; the blocks of a bucket are the smaller the larger its sets are.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bitmap, components, in_bitmap, query, salted_join, stored, table
@@ -29,7 +35,8 @@ from .shared import bitmap, components, in_bitmap, query, salted_join, stored, t
 #: Base of the logarithmic scale, rate of the exponential variables and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BAND = 5
-HUBS, HUB_CLASSES = (16, 64), 1 << 14
+#: Members of a block, shingles of a block, and members of a bucket that are in all of its blocks.
+BLOCK, BLOCK_SHINGLES, ANCHORS = 512, 1 << 20, 64
 MEMO = 1 << 20
 BITS = 24
 
@@ -89,7 +96,7 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, steps: int = 40) -> np.ndarray:
     """Jaccard similarity of each row pair by maximum likelihood of the order of registers, sizes known."""
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
     equal = a.shape[1] - more - less
@@ -105,7 +112,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
         return more * np.log(np.clip(up, 1e-12, 1)) + less * np.log(np.clip(down, 1e-12, 1)) + equal * np.log(rest)
 
     low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
-    for _ in range(40):
+    for _ in range(steps):
         third = (high - low) / 3
         left = likelihood(low + third) >= likelihood(high - third)
         low, high = np.where(left, low, low + third), np.where(left, high - third, high)
@@ -133,71 +140,30 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, registers: int) -
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SKETCH)
 
 
-def band_entries(classes: DataFrame, registers: int) -> DataFrame:
-    """(bucket, rep): one row for each band of each class."""
+def band_hashes(registers: np.ndarray) -> np.ndarray:
+    """Hashes of the bands of each row of registers; rest registers behind the last whole band are not used."""
+    bands = registers.shape[1] // BAND
+    r = registers[:, : bands * BAND].reshape(len(registers), bands, BAND).astype(np.uint64)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(registers), bands)).copy()
+    for k in range(BAND):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + r[:, :, k])
+    return h
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands = registers // BAND
-        for pdf in batches:
-            if len(pdf):
-                r = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(len(pdf), registers)[:, : bands * BAND]
-                r = r.reshape(len(pdf), bands, BAND).astype(np.uint64)
-                h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(pdf), bands)).copy()
-                for k in range(BAND):
-                    h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + r[:, :, k])
-                yield pd.DataFrame({"bucket": h.ravel().view(np.int64), "rep": np.repeat(pdf["rep"].to_numpy(), bands)})
 
-    return classes.select("rep", "registers").mapInPandas(run, "bucket long, rep long")
-
-
-def likely(pairs: DataFrame, classes: DataFrame, percent: int, registers: int) -> DataFrame:
-    """Pairs (u, v) that sizes and the estimate do not rule out: 0.2 below the threshold is more than five deviations."""
-    info = classes.select(F.col("rep").alias("v"), F.col("registers").alias("rv"), F.col("n_shingles").alias("nv"))
-    heads = info.toDF("u", "ru", "nu")
-    counts = stored(pairs.groupBy("u").agg(F.count("*").alias("_n")))
-    both = salted_join(pairs.join(info.hint("merge"), "v"), heads, "u", counts=counts)
-    both = both.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+def band_entries(classes: DataFrame, registers: int, wanted: Broadcast | None = None) -> DataFrame:
+    """(bucket, band, rep, class, n_shingles): one row for each band of each class, or only those of a bitmap of buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands = registers // BAND
         for pdf in batches:
             if len(pdf):
-                a, b = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), registers) for c in ("ru", "rv"))
-                j = estimate(a, b, pdf["nu"].to_numpy(float), pdf["nv"].to_numpy(float))
-                yield pdf.loc[j >= percent / 100 - 0.2, ["u", "v"]]
-
-    return both.mapInPandas(run, "u long, v long")
+                h = band_hashes(np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(len(pdf), registers)).ravel()
+                rows = pdf[["rep", "class", "n_shingles"]].loc[pdf.index.repeat(bands)]
+                out = rows.assign(bucket=h.view(np.int64), band=np.tile(np.arange(bands, dtype=np.int32), len(pdf)))
+                yield out if wanted is None else out[in_bitmap(wanted.value, BITS, h)]
 
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the threshold; a hub with many partners is read by several tasks."""
-    counts = pairs.groupBy("u").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
-    split = pairs.join(counts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    members = split.select("u", "part", "v").join(texts.toDF("v", "text").hint("merge"), "v").select("u", "part", "v", "text")
-    heads = split.select("u", "part").distinct().join(texts.toDF("u", "text").hint("merge"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
-    rows = heads.unionByName(members).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, sets = None, []
-        for pdf in batches:
-            out = []
-            for u, part, v, text in zip(pdf["u"], pdf["part"], pdf["v"], pdf["text"]):
-                s = shingle_set(text, width)
-                if (u, part) != at:
-                    at, sets = (u, part), []
-                if pd.isna(v):
-                    sets.append(s)
-                    continue
-                for h in sets:
-                    small, large = (s, h) if len(s) < len(h) else (h, s)
-                    if len(small):
-                        at_large = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        common = int((large[at_large] == small).sum())
-                        if 100 * common >= percent * (len(small) + len(large) - common):
-                            out.append((u, int(v)))
-                            break
-            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    return rows.mapInPandas(run, "u long, v long").distinct()
+    rows = classes.select("rep", F.xxhash64("same").alias("class"), "n_shingles", "registers")
+    return rows.mapInPandas(run, "bucket long, band int, rep long, class long, n_shingles long")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -212,17 +178,85 @@ def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, rows.schema).drop("h").join(ids.hint("merge"), "doc_id")
 
 
-def _next_hubs(outside: DataFrame) -> DataFrame:
-    """(bucket, hubs): the first few members in the order of a hash, which is the same in all buckets.
+def _parts(members: Column, shingles: Column) -> Column:
+    """Blocks for so many members with so many shingles together."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
 
-    Small buckets have up to HUBS[1] hubs, large ones HUBS[0], so the pairs of a round are in proportion to the members.
-    Members come from at most HUB_CLASSES hash classes, one of each, so nothing large is collected.
+def _part(parts: Column | str, *salt: str) -> Column:
+    return F.pmod(F.xxhash64("rep", "bucket", *map(F.lit, salt)), F.col(parts) if isinstance(parts, str) else parts).cast("int")
+
+
+def _all(parts: Column | str) -> Column:
+    return F.sequence(F.lit(0), F.col(parts) - 1)
+
+
+def block_links(
+    reps: list[int], labels: list[int], heads: np.ndarray, sets: list[np.ndarray], band: int, percent: int, registers: int
+) -> list[tuple[int, int]]:
+    """Links that join the components of a block's members, which share the given band.
+
+    With heads, those are compared with all other members; without, all members with each other. Pairs that share an
+    earlier band are left to it.
     """
-    some = outside.groupBy("bucket", "size", F.pmod(F.xxhash64("next"), F.lit(HUB_CLASSES)).alias("h")).agg(
-        F.min(F.struct(F.xxhash64("next").alias("x"), "next", "next_label")).alias("hub")
-    )
-    most = F.greatest(F.lit(HUBS[0]), F.least(F.lit(HUBS[1]), F.floor(HUBS[1] ** 2 / F.col("size")))).cast("int")
-    return some.groupBy("bucket", "size").agg(F.array_sort(F.collect_list("hub")).alias("hubs")).select("bucket", F.slice("hubs", 1, most).alias("hubs"))
+    seeds = _seeds(registers)
+    r = np.array([sketch(s, seeds) for s in sets])
+    before = band_hashes(r)[:, :band]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(sizes)[:-1])
+    at = np.zeros(max(int(i.max()) for i in ids) + 1, bool)
+    comp = np.unique(np.array(labels), return_inverse=True)[1]
+    partners = ~heads if heads.any() else np.ones(len(sets), bool)
+    out = []
+    for a in np.flatnonzero(heads) if heads.any() else range(len(sets)):
+        open_ = partners & (comp != comp[a]) & (100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a]))
+        if not heads.any():
+            open_[: a + 1] = False
+        b = np.flatnonzero(open_)
+        b = b[~(before[b] == before[a]).any(axis=1)]
+        if not len(b):
+            continue
+        j = estimate(np.broadcast_to(r[a], (len(b), registers)), r[b], np.full(len(b), float(sizes[a])), sizes[b].astype(float), 16)
+        at[ids[a]] = True
+        for v in b[np.argsort(-j, kind="stable")]:
+            if comp[v] != comp[a]:
+                common = int(np.count_nonzero(at[ids[v]]))
+                if 100 * common >= percent * (int(sizes[a] + sizes[v]) - common):
+                    out.append((reps[a], reps[v]))
+                    comp[comp == comp[v]] = comp[a]
+        at[ids[a]] = False
+    return out
+
+
+def links(cells: DataFrame, texts: DataFrame, width: int, percent: int, registers: int) -> DataFrame:
+    """Links (u, v) found in cells: rows (bucket, band, x, y, rep, label, head), each cell (bucket, x, y) of bounded size."""
+    counts = stored(cells.groupBy("rep").agg(F.count("*").alias("_n")))
+    rows = salted_join(cells, texts.toDF("rep", "text"), "rep", counts=counts)
+    rows = rows.select("bucket", "band", "x", "y", "rep", "label", "head", "text").repartition("bucket", "x", "y")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, reps, labels, heads, sets = None, [], [], [], []
+
+        def done() -> pd.DataFrame:
+            found = block_links(reps, labels, np.array(heads, bool), sets, now[1], percent, registers) if len(reps) > 1 else []
+            return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+        for pdf in batches:
+            cell = zip(pdf["bucket"], pdf["band"], pdf["x"], pdf["y"])
+            for c, rep, label, head, text in zip(cell, pdf["rep"], pdf["label"], pdf["head"], pdf["text"]):
+                if c != now:
+                    yield done()
+                    now, reps, labels, heads, sets = c, [], [], [], []
+                s = shingle_set(text, width)
+                if len(s):
+                    reps.append(rep)
+                    labels.append(label)
+                    heads.append(head)
+                    sets.append(s)
+        yield done()
+
+    return rows.sortWithinPartitions("bucket", "x", "y").mapInPandas(run, "u long, v long")
 
 
 def near_documents(
@@ -235,45 +269,51 @@ def near_documents(
         .groupBy("same")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count("*").alias("_n"))
     )
-    buckets = stored(
-        band_entries(classes, registers).groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("_n")).where("_n > 1")
+    # Buckets of the same members (two 64-bit hashes of the set) are one: that of the first band.
+    buckets = (
+        band_entries(classes, registers)
+        .groupBy("bucket")
+        .agg(
+            F.min("band").alias("band"),
+            F.count("*").alias("_n"),
+            F.sum("n_shingles").alias("_w"),
+            F.bit_xor("class").alias("a"),
+            F.bit_xor(F.xxhash64("class")).alias("b"),
+        )
+        .where("_n > 1")
+        .groupBy("_n", "_w", "a", "b")
+        .agg(F.min(F.struct("band", "bucket")).alias("m"))
     )
+    buckets = stored(buckets.select("m.bucket", F.col("_n"), _parts(F.col("_n"), F.col("_w")).alias("parts")))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(buckets, "bucket", BITS))
+    entries = stored(band_entries(classes, registers, wanted))
     members = stored(
-        salted_join(
-            band_entries(classes, registers),
-            buckets.select("bucket", "hub", F.col("_n").alias("size")),
-            "bucket",
-            counts=buckets.select("bucket", "_n"),
-            total=classes.count() * (registers // BAND),
-        )
+        salted_join(entries.drop("class"), buckets.select("bucket", F.col("_n").alias("size"), "parts"), "bucket", counts=buckets.select("bucket", "_n")).dropDuplicates(["bucket", "rep"])
     )
-    ids = stored(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = stored(_texts(docs, ids, key, text))
-    pairs = stored(members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct())
-    tested, edges, hubs_done = [], None, None
-    while True:
-        found = stored(verified(stored(likely(pairs, classes, percent, registers)), texts, width, percent))
-        tested.append(pairs)
-        edges = found if edges is None else edges.unionByName(found)
+    texts = stored(_texts(docs, members.select(F.col("rep").alias("doc_id")).distinct(), key, text))
+
+    anchor = (F.col("parts") > 1) & (F.pmod(F.xxhash64("rep"), F.col("size")) < ANCHORS)
+    first = members.withColumn("x", F.explode(F.when(anchor, _all("parts")).otherwise(F.array(_part("parts")))))
+    cell = ["bucket", "band", "x", "y", "rep", "label", "head"]
+    first = first.withColumn("y", F.lit(0)).withColumn("label", F.col("rep")).withColumn("head", F.lit(False)).select(cell)
+    edges = stored(links(first, texts, width, percent, registers))
+    joined = stored(components(edges, "u", "v"))
+
+    # Members of buckets of several blocks that are outside the largest component meet all blocks.
+    large = members.where("parts > 1").join(joined.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
+    large = stored(large.withColumn("label", F.coalesce("component", "rep")).drop("component"))
+    if not large.isEmpty():
+        sizes = large.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "label", "w")).alias("m"))
+        rest = main.select("bucket", "main", (F.col("n") - F.col("m.n")).alias("n"), (F.col("w") - F.col("m.w")).alias("w")).where("n > 0")
+        rest = stored(rest.select("bucket", "main", _parts(F.col("n"), F.col("w")).alias("head_parts")))
+        both = stored(salted_join(large, rest, "bucket", counts=buckets.select("bucket", "_n")))
+        heads = both.where("label <> main").withColumn("x", _part("head_parts", "head")).withColumn("y", F.explode(_all("parts"))).withColumn("head", F.lit(True))
+        others = both.withColumn("y", _part("parts")).withColumn("x", F.explode(_all("head_parts"))).withColumn("head", F.lit(False))
+        more = links(heads.select(cell).unionByName(others.select(cell)), texts, width, percent, registers)
+        edges = stored(edges.unionByName(more))
         joined = stored(components(edges, "u", "v"))
-        labelled = members.join(joined.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("k")).where("k > 1")
-        open_buckets = stored(labelled.join(main.hint("merge"), "bucket"))
-        outside = open_buckets.where("label <> main").select("bucket", "size", F.col("rep").alias("next"), F.col("label").alias("next_label"))
-        if hubs_done is not None:
-            outside = outside.join(hubs_done, ["bucket", "next"], "left_anti")
-        nexts = stored(_next_hubs(outside))
-        if nexts.isEmpty():
-            break
-        chosen = nexts.select("bucket", F.explode("hubs").alias("h")).select("bucket", "h.next", "h.next_label")
-        hubs_done = chosen.drop("next_label") if hubs_done is None else hubs_done.unionByName(chosen.drop("next_label"))
-        crossed = open_buckets.join(chosen, "bucket").where("label <> next_label")
-        new = crossed.select(F.least("next", "rep").alias("u"), F.greatest("next", "rep").alias("v")).distinct()
-        for old in tested:
-            new = new.join(old.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-        pairs = stored(new)
-    known = classes.select("same", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    known = classes.select("same", "rep").join(joined.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     known = stored(known.select("same", F.coalesce("component", "rep").alias("component_id")))
     rows = all_docs.select("doc_id", "n_shingles", "same")
     out = salted_join(rows, known, "same", "left", classes.select("same", "_n"), docs.count())

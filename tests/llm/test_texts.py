@@ -110,11 +110,14 @@ def test_near_documents_without_rows(spark):
     assert setsketch.near_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_chain_of_near_copies_needs_more_hubs(spark, monkeypatch):
-    """A bucket whose smallest member is linked with few of the others; the rest must still be linked."""
-    monkeypatch.setattr(setsketch, "HUBS", (1, 1))
+@pytest.mark.parametrize("block, anchors", [(3, 1), (2, 0), (512, 64)])
+def test_chain_of_near_copies_over_blocks(spark, monkeypatch, block, anchors):
+    """Buckets whose members are linked with few of the others, cut into small blocks; all must still be linked."""
+    monkeypatch.setattr(setsketch, "BLOCK", block)
+    monkeypatch.setattr(setsketch, "ANCHORS", anchors)
     words = [f"w{i}" for i in range(400)]
     rows = [(k, " ".join(words[6 * k : 6 * k + 200])) for k in range(20)]
+    rows += [(5, "an id that is used twice"), (3, rows[9][1]), (None, rows[4][1]), (30, None), (31, " ")]
     df = setsketch.near_documents(spark.createDataFrame(rows, DOCS), width=3, percent=85)
     same_rows(df, near_components(rows, 3, 85), ["doc_id", "n_shingles", "component_id", "kept"])
 
