@@ -20,6 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ from .shared import light_batches, query, table, word_runs
 #: Fixed value: how byte-level vocabularies split a text before any merge.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces a worker remembers; at this number it starts afresh. Longer pieces are not remembered.
-MEMO = 1 << 20
+MEMO = 1 << 18
 MEMO_CHARS = 64
 #: Pieces up to this many bytes are merged in a list, longer ones with a heap.
 SHORT = 64
@@ -269,6 +270,18 @@ def _schema(df: DataFrame, name: str, kind: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name), f"`{name}` {kind}"])
 
 
+def _encoded(codec: Codec, batch: pa.RecordBatch, text: str, ids: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+    """Slices of a batch, about a megabyte of texts each, with their ids; also their texts and the ids as arrays."""
+    column = batch.column(batch.schema.names.index(text))
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+    for i, j in light_batches([range(n) for n in sizes]):
+        texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+        made = codec.encode_all(texts) if j - i > 1 else [np.concatenate([*codec.encode(texts[0]), np.zeros(0, np.int32)])]
+        offsets = np.cumsum([0, *map(len, made)])
+        values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(made), pa.int32()))
+        yield _with(batch.slice(i, j - i), ids, values), texts, made
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with the ids of their texts."""
     raw = vocabulary(docs.sparkSession, path)
@@ -276,31 +289,31 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-            for i, j in light_batches(texts):
-                made = codec.encode_all(texts[i:j]) if j - i > 1 else [np.concatenate([*codec.encode(texts[i]), np.zeros(0, np.int32)])]
-                offsets = np.cumsum([0, *map(len, made)])
-                values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(made), pa.int32()))
-                yield _with(batch.slice(i, j - i), ids, values)
+            for out, _, _ in _encoded(codec, batch, text, ids):
+                yield out
 
     return docs.mapInArrow(run, _schema(docs, ids, "array<int>"))
 
 
 def encode_checked(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", n: str = "n_tokens", exact: str = "exact") -> DataFrame:
-    """As ``encode``, with the number of ids and whether they decode to the text again."""
+    """As ``encode``, with the number of ids and whether they decode to the text again; without the text itself.
+
+    One Python worker a task does all three.
+    """
     raw = vocabulary(docs.sparkSession, path)
+    kept = [c for c in docs.columns if c not in (text, ids, n, exact)]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{ids}` array<int>, `{n}` long, `{exact}` boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value)
         for batch in batches:
-            lists = batch.column(batch.schema.names.index(ids))
-            texts = batch.column(batch.schema.names.index(text))
-            same = [codec.decode(x.values.to_numpy().tolist()) == (t.as_py() or "") for x, t in zip(lists, texts)]
-            yield _with(_with(batch, n, lists.value_lengths().cast(pa.int64())), exact, pa.array(same, pa.bool_()))
-
-    coded = encode(docs, path, text, ids)
-    schema = _schema(coded, n, "long")
-    return coded.mapInArrow(run, f"{schema}, `{exact}` boolean")
+            for out, texts, made in _encoded(codec, batch, text, ids):
+                same = [codec.decode(x.tolist()) == t for x, t in zip(made, texts)]
+                lengths = pa.array([len(x) for x in made], pa.int64())
+                columns = [*(out.column(out.schema.names.index(c)) for c in [*kept, ids]), lengths, pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, n, exact])
+
+    return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -37,7 +37,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BAND = 5
 #: Members of a block, shingles of a block, and members of a bucket that are in all of its blocks.
 BLOCK, BLOCK_SHINGLES, ANCHORS = 512, 1 << 20, 64
-MEMO = 1 << 20
+MEMO = 1 << 17
 BITS = 24
 
 
