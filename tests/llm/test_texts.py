@@ -122,14 +122,6 @@ def test_chain_of_near_copies_over_blocks(spark, monkeypatch, block, anchors):
     same_rows(df, near_components(rows, 3, 85), ["doc_id", "n_shingles", "component_id", "kept"])
 
 
-def test_edges_of_a_block_are_stars():
-    links = [(5, 4), (4, 3), (9, 8), (3, 2), (8, 9), (2, 5)]
-    assert sorted(setsketch.stars(links)) == [(3, 2), (4, 2), (5, 2), (9, 8)]
-    path = [(i, i + 1) for i in range(5000)]
-    assert sorted(setsketch.stars(path[::-1])) == [(i + 1, 0) for i in range(5000)]
-    assert setsketch.stars([]) == []
-
-
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     seeds = setsketch._seeds(1000)
