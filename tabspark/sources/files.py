@@ -40,15 +40,31 @@ def file_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", "modificationTime", sniff(F.col("content")).alias("type"))
 
 
-# HTML entities in stored replies; "&amp;" last, so that nothing is unescaped twice.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+# Named HTML entities of stored replies.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+REFERENCE = "(?s)(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);|&|[^&]+)"
 REPLY = "items array<struct<id: string, snippet: struct<title: string, channelTitle: string>>>"
 
 
+def _character(part: Column) -> Column:
+    """The character of a numeric reference; U+FFFD where there is none."""
+    digits = F.regexp_extract(part, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    point = F.conv(digits, 10, 16)
+    point = F.lpad(F.when(part.rlike("^&#[xX]"), F.upper(digits)).otherwise(point), 8, "0")
+    none = (point == "00000000") | (point > "0010FFFF") | point.between("0000D800", "0000DFFF")
+    return F.when(none, F.lit("\ufffd")).otherwise(F.decode(F.unhex(point), "UTF-32"))
+
+
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """HTML text as plain text: numeric references and the named ones of ``ENTITIES``, in one pass, so nothing is unescaped twice.
+
+    Other names, and references without a semicolon, stay as they are. Numbers are code points, also those from 1 to 31 and
+    from 128 to 159, which browsers drop or take from another table. Null stays null.
+    """
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    parts = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    plain = F.transform(parts, lambda p: F.when(p.rlike("^&#[xX]?[0-9a-fA-F]+;$"), _character(p)).otherwise(F.coalesce(F.try_element_at(named, p), p)))
+    return F.array_join(plain, "")
 
 
 def flatten_results(df: DataFrame, keys: Sequence[str], json: str) -> DataFrame:
